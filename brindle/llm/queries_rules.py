@@ -37,7 +37,7 @@ WITH d AS (
 ), b AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
     + 4 * (word_chars < 2 * n_words)::INT + 8 * (word_chars > 15 * n_words)::INT
-    + 16 * (10 * n_symbols > 3 * n_words)::INT + 32 * (10 * n_dup_lines > 3 * n_lines)::INT AS BIGINT) AS rule_bits
+    + 16 * (10 * n_symbols > 3 * n_words)::INT + 32 * (10 * n_dup_lines > 7 * n_lines)::INT AS BIGINT) AS rule_bits
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

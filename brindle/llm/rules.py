@@ -44,7 +44,7 @@ RULES: tuple[Rule, ...] = (
     Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
     Rule("many_symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
-    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 7 * m["n_lines"]),
 )
 BASE = Policy("base", 1, ("too_few_words", "repeated_words"))
 STRICT = Policy("strict", 1, tuple(r.name for r in RULES))
