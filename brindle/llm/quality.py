@@ -90,21 +90,23 @@ def _descend(gradient, width: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, least: float = 0.2) -> float:
+def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, least: float = 0.5) -> float:
     """Least ratio of unlabelled to positive mass above thresholds that keep a share ``least`` of the positives.
 
-    Where only good texts score that high, the ratio is the share of good texts among the unlabelled.
+    Where only good texts score that high, the ratio is the share of good texts among the unlabelled. The
+    scores must come from a model that saw neither sample. Half the sampling error is taken off: a prior
+    that is too high lets bad texts pass as good ones.
     """
     cuts = np.quantile(score_p, np.linspace(0, 1 - least, 81))
     p = np.array([(score_p >= c).mean() for c in cuts])
     u = np.array([(score_u >= c).mean() for c in cuts])
-    slack = np.sqrt(1.0 / max(1, len(score_u))) + np.sqrt(1.0 / max(1, len(score_p)))
-    return float(np.clip(((u + 0.5 * slack) / p).min(), 0.01, 0.99))
+    error = 1 / np.sqrt(len(score_u)) + 1 / np.sqrt(len(score_p))
+    return float(np.clip((u / p).min() - 0.5 * error, 0.01, 0.99))
 
 
-def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 400, decay: float = 1e-4, rate: float = 0.05) -> QualityModel:
-    """The model of positives ``xp`` and unlabelled ``xu``."""
-    if not len(xp) or not len(xu):
+def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 300, decay: float = 0.01, rate: float = 0.05) -> QualityModel:
+    """The model of positives ``xp`` and unlabelled ``xu``; 0.5 for everything where there are under 2 of either."""
+    if len(xp) < 2 or len(xu) < 2:
         return QualityModel(None, 0.0, np.zeros(WIDTH), np.ones(WIDTH), 0.5)
     mean = xu.mean(axis=0)
     scale = (1 / np.maximum(xu.std(axis=0), 0.02)).astype(np.float32)
@@ -112,12 +114,17 @@ def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 400, decay: float =
     shrink = np.full(p.shape[1], decay)
     shrink[-1] = 0
 
-    def told_apart(w):
-        """Logistic loss of positives against unlabelled, both sides weighing half."""
-        return (-(1 - sigmoid(p @ w)) @ p / len(p) + sigmoid(u @ w) @ u / len(u)) / 2 + shrink * w
+    def apart(half: int) -> float:
+        """The prior by a model that tells one half's positives from its unlabelled, on the other half."""
+        a, b = p[half::2], u[half::2]
 
-    apart = _descend(told_apart, p.shape[1], steps // 2, rate)
-    prior = estimate_prior(p @ apart, u @ apart)
+        def gradient(w):
+            return (-(1 - sigmoid(a @ w)) @ a / len(a) + sigmoid(b @ w) @ b / len(b)) / 2 + shrink * w
+
+        w = _descend(gradient, p.shape[1], steps // 2, rate)
+        return estimate_prior(p[1 - half :: 2] @ w, u[1 - half :: 2] @ w)
+
+    prior = (apart(0) + apart(1)) / 2
 
     def risk(w):
         zp, zu = p @ w, u @ w
