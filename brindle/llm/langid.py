@@ -145,11 +145,11 @@ def fit(
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its posterior (0 to 1); columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(LanguageModel(*shared.value))
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang", "score"])
 

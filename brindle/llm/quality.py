@@ -176,11 +176,12 @@ def trusted(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> D
 
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "quality_score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row; a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.w, model.bias, model.mean, model.scale, model.prior))
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = QualityModel(*shared.value)
         for texts in batches:
-            yield pd.Series(np.concatenate([shared.value.score(matrix(texts[i : i + 1000])) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([model.score(matrix(texts[i : i + 1000])) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
 
     return docs.withColumn(score, predict(F.col(text)))
