@@ -2,7 +2,7 @@
 
 1. Texts are cut into pre-tokens with their positions. A task takes its rows in chunks of about ``chunk_chars``
    characters and sends one row for each chunk and bucket of words: the chunk's distinct words of that bucket and
-   where each stands. A frequent word is thus sent once a chunk, not once an occurrence.
+   their codes; beside them goes one row with the code at every position. A frequent word is sent once a chunk.
 2. All rows of a bucket meet in one task, which encodes each distinct word once and answers, row by row, with ids
    in place of words. It holds its bucket's distinct words and one row at a time.
 3. The rows of a chunk meet again, ids are put back by position, and each document gets its ids.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -29,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import small_batches
+
 CHUNK_CHARS = 8 << 20
 #: Encoded words that a task remembers before it starts afresh (it then encodes some words again).
 REMEMBERED = 3_000_000
@@ -76,18 +79,24 @@ def _split(data: bytes, n: int) -> list[bytes]:
     return [bytes(data[e - s : e]) for e, s in zip(ends.tolist(), np.frombuffer(data, "<u4", n).tolist(), strict=True)]
 
 
-def _gaps(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Ascending places of each word as its first place and the gaps after it."""
-    out = np.diff(at, prepend=0)
-    first = np.cumsum(counts) - counts
-    out[first] = at[first]
-    return out
+def _stream(codes: np.ndarray, shared: int) -> bytes:
+    """Codes of a chunk's pre-tokens in order. Codes from ``shared`` on stand for words that occur once, numbered
+    as they come, so that a mark is enough; a small code is one byte and others spread over four."""
+    once = codes >= shared
+    large = codes[(codes >= 254) & ~once].astype(np.int64) - 254
+    first = np.where(once, 255, np.minimum(codes, 254)).astype(np.uint8)
+    planes = [first, *((large >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24))]
+    return _sections(*(zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in planes), pack(np.array([shared])))
 
 
-def _places(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    run = np.cumsum(gaps)
-    first = np.cumsum(counts) - counts
-    return run - np.repeat(run[first] - gaps[first], counts)
+def _codes(stream: bytes) -> np.ndarray:
+    *planes, shared = _split(stream, 6)
+    first, *rest = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in planes)
+    out = first.astype(np.int32)
+    out[first == 254] += sum((x.astype(np.int32) << s for x, s in zip(rest, (0, 8, 16, 24), strict=True)), np.int32(0))
+    once = first == 255
+    out[once] = unpack(shared)[0] + np.arange(int(once.sum()), dtype=np.int32)
+    return out
 
 
 class Chunk:
@@ -111,41 +120,42 @@ class Chunk:
         counts = np.array([len(c) for c in self.codes])
         keys = np.array([0 if k is None else k for k in self.keys], "<i8").tobytes()
         null = np.array([k is None for k in self.keys], np.uint8).tobytes()
-        out = [(chunk, DOCS, _sections(keys, null), pack(counts))]
         words = [w.encode() for w in self.vocabulary]
+        codes = np.concatenate(self.codes)
+        each = np.bincount(codes, minlength=len(words))
+        # Frequent words come first, then those that occur once in order of appearance.
+        order = np.argsort(-np.where(each > 1, each, 0), kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        out = [(chunk, DOCS, _sections(keys, null, pack(counts)), _stream(place[codes], int((each > 1).sum())))]
         if words:
-            bucket = np.array([zlib.crc32(w) % buckets for w in words])
+            bucket = np.array([zlib.crc32(words[i]) % buckets for i in order])
             by_bucket = np.argsort(bucket, kind="stable")
-            new = np.empty(len(words), np.int32)
-            new[by_bucket] = np.arange(len(words), dtype=np.int32)
-            codes = new[np.concatenate(self.codes)]
-            at, each = np.argsort(codes, kind="stable"), np.bincount(codes, minlength=len(words))
-            ends, firsts = np.cumsum(each), np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
-            for lo, hi in zip(firsts, [*firsts[1:], len(words)], strict=True):
-                mine = [words[i] for i in by_bucket[lo:hi]]
-                text = zstandard.ZstdCompressor(level=1).compress(b"".join(mine))
-                gaps = _gaps(at[ends[lo] - each[lo] : ends[hi - 1]], each[lo:hi])
-                out.append((chunk, int(bucket[by_bucket[lo]]), _sections(pack(np.array([len(w) for w in mine])), text), _sections(pack(each[lo:hi]), pack(gaps))))
+            starts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], len(words)], strict=True):
+                mine = by_bucket[lo:hi]
+                here = [words[i] for i in order[mine]]
+                text = zstandard.ZstdCompressor(level=3).compress(b"".join(here))
+                out.append((chunk, int(bucket[mine[0]]), _sections(pack(np.array([len(w) for w in here])), text), pack(np.diff(mine, prepend=0))))
         c, b, w, p = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.int32()), pa.array(w, pa.binary()), pa.array(p, pa.binary())], ["chunk", "bucket", "words", "places"])
 
 
 def _put_back(rows: pa.Table) -> pa.Table:
     """A chunk's documents with their ids."""
-    flat, lengths, refs = [], None, None
-    base = 0
     by_bucket = sorted(zip(rows["bucket"].to_pylist(), rows["words"].to_pylist(), rows["places"].to_pylist(), strict=True))
-    (_, docs, doc_counts), rest = by_bucket[0], by_bucket[1:]
-    counts = unpack(doc_counts)
-    keys, null = _split(docs, 2)
-    lengths, refs = np.zeros(int(counts.sum()), np.int32), np.zeros(int(counts.sum()), np.int32)
+    (_, docs, stream), rest = by_bucket[0], by_bucket[1:]
+    keys, null, counts = _split(docs, 3)
+    counts, codes = unpack(counts), _codes(stream)
+    size = int(codes.max(initial=-1)) + 1
+    length, ref, flat, base = np.zeros(size, np.int32), np.zeros(size, np.int32), [], 0
     for _, words, places in rest:
-        (n, ids), (each, gaps) = map(unpack, _split(words, 2)), map(unpack, _split(places, 2))
-        at = _places(gaps, each)
-        lengths[at] = np.repeat(n, each)
-        refs[at] = np.repeat(base + np.cumsum(n) - n, each)
+        n, ids = map(unpack, _split(words, 2))
+        at = np.cumsum(unpack(places))
+        length[at], ref[at] = n, base + np.cumsum(n) - n
         flat.append(ids.astype(np.int32))
         base += len(ids)
+    lengths, refs = length[codes], ref[codes]
     ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     if total >= 1 << 31:
@@ -163,6 +173,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     Null and empty texts have no ids. Rows are kept one for one, also those with equal or null keys. Special
     tokens have no meaning: their strings are ordinary text. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     buckets = max(1, min(20_000, d.rdd.getNumPartitions()))
     table = d.sparkSession.sparkContext.broadcast(ranks)
@@ -214,6 +225,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids; null ids give null, an id outside the table fails the job."""
+    small_batches(encoded.sparkSession)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
@@ -222,11 +234,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*rest).schema) + f", `{out}` binary"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.__getitem__
+        tokens = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                piece = batch.slice(at, 500)
-                got = [None if x is None else b"".join(map(of, x)) for x in piece.column(rest.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(got, pa.binary())], [*rest, out])
+            lists = batch.column(rest.index(ids))
+            of = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            joined = tokens.take(lists.flatten())
+            at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+            data = joined.buffers()[2] or pa.py_buffer(b"")
+            texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at[of].tobytes()), data])
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*rest, out])
 
     return encoded.select(*rest).mapInArrow(join, schema)

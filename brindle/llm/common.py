@@ -54,3 +54,11 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, also where lambdas in ``body`` use it."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 512 rows or 8 MB where the session has the defaults: a row here is a whole text."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "512"), ("maxBytesPerBatch", None, str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if default is None or spark.conf.get(key) == default:
+            spark.conf.set(key, value)
