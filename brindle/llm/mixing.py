@@ -83,8 +83,9 @@ def mix(
     shard_words: int = 1 << 20,
     shard_docs: int = 4096,
     seed: int = 42,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, and the columns to ``carry``.
 
     size: words of the text (null: 0). taken: words the mix takes, repeats counted, at most ``max_repeats``
     times size; 0 for a text without words. Null sources are one source, the last. Repeated rows are documents
@@ -92,7 +93,7 @@ def mix(
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     sized = stored(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), order.alias("h")), "sized"
+        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), order.alias("h"), *(F.col(c).alias(f"_{c}") for c in carry)), "sized"
     )
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeats)
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_docs)).cast("long")
@@ -112,4 +113,23 @@ def mix(
     got = at.join(shards, (F.col("place") == F.col("_place")) & (F.col("shard") == F.col("_shard")), "left")
     part = F.least(F.greatest(F.expr("take % words") - F.col("start"), F.lit(0)), F.col("size"))
     taken = F.when(F.col("words") > 0, F.expr("take div words") * F.col("size") + part).otherwise(0).cast("long")
-    return got.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return got.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(F.col(f"_{c}").alias(c) for c in carry))
+
+
+def copies(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row for each time a document is taken whole.
+
+    Where a block ends inside a document, its words up to there follow as one more row, joined by single spaces, with
+    ``n_chars`` (where there is such a column) their length. What the mix does not take goes. ``options`` are mix()'s.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    taken = mix(rows, text=text, carry=["_row"], **options).where("taken > 0").select(F.col("_row").alias("_of"), "size", "taken")
+    whole, part = F.expr("taken div size"), F.expr("cast(taken % size as int)")
+    lengths = F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    each = rows.join(taken.select("_of", F.explode(lengths).alias("_words")), F.col("_row") == F.col("_of"))
+    cut = F.when(F.col("_words") > 0, F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("_words")), " ")).otherwise(F.col(text))
+    kept = each.withColumn(text, cut)
+    if n_chars in docs.columns:
+        length = F.length(text).cast(docs.schema[n_chars].dataType)
+        kept = kept.withColumn(n_chars, F.when(F.col("_words") > 0, length).otherwise(F.col(n_chars)))
+    return kept.select(*docs.columns)

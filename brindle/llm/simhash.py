@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stored
+from brindle.llm.common import small_batches, stored
 from brindle.llm.components import Forest, components
 
 LOW = 0x5555555555555555
@@ -63,6 +63,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -145,14 +146,30 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", most_in_ce
     """
     marked = stored(fingerprinted(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", "fp"), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps.select("fp"), most_in_cell)).select(F.col("node").alias("fp"), "root")
-    of = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = of.join(roots.select("fp"), "fp", "left_semi")
-    least = linked.groupBy("root").agg(F.min("least").alias("smallest"))
+    of = _rooted(fps, most_in_cell)
+    least = of.where("linked").groupBy("root").agg(F.min("least").alias("smallest"))
     named = of.join(least, "root", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(fps: DataFrame, most_in_cell: int) -> DataFrame:
+    """``fps`` (distinct ``fp``) with the ``root`` of each component and whether it is ``linked`` to another."""
+    roots = components(links(fps.select("fp"), most_in_cell)).select(F.col("node").alias("fp"), "root")
+    return fps.join(roots, "fp", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", most_in_cell: int = MOST_IN_CELL) -> DataFrame:
+    """The rows of ``docs`` that stay, in its columns: of each component, one with the smallest key.
+
+    Null keys come last. Of rows that tie, also repeated ones, one stays.
+    """
+    rows = stored(fingerprinted(docs, text, "_fp").withColumn("_row", F.monotonically_increasing_id()), "to-dedup")
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))
+    fps = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least")), "distinct")
+    best = _rooted(fps, most_in_cell).groupBy("root").agg(F.min("least").alias("least"))
+    return rows.join(best.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def hexed(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
