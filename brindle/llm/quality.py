@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import small_batches
+
 BYTES, PAIRS = 129, 512
 #: Steps at which the shares of repeated windows and lines become features of their own.
 STEPS = np.array([0.05, 0.1, 0.2, 0.35, 0.5, 0.7])
@@ -163,6 +165,7 @@ def fit(
         ids = df.select(F.col(key).alias("_id")).where(F.col("_id").isNotNull())
         return ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(most).distinct()
 
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     xp = _sampled(d, chosen(positives, most_positives, 1), most_positives)
     xu = _sampled(d, chosen(docs, most_unlabelled, 2), most_unlabelled)
@@ -176,12 +179,13 @@ def trusted(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> D
 
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "quality_score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.bias, model.mean, model.scale, model.prior))
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = QualityModel(*shared.value)
         for texts in batches:
-            yield pd.Series(np.concatenate([model.score(matrix(texts[i : i + 1000])) for i in range(0, len(texts), 1000)] or [np.zeros(0)]))
+            yield pd.Series(model.score(matrix(texts)))
 
     return docs.withColumn(score, predict(F.col(text)))
