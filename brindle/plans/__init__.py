@@ -1 +1 @@
-
+"""Benchmark plans and the SQL entry point."""

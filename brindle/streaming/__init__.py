@@ -1 +1 @@
-
+"""No operator of this engine is a streaming one; batch plans also run under foreachBatch."""
