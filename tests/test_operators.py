@@ -1,0 +1,166 @@
+"""Operators on small typed tables with NULLs."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle import functions as E
+from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, order_by, output, scan_select, select, vector_select
+from brindle.operators.joins import join_order, tables_of
+from brindle.plans.sql import run_sql, statements
+from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
+from brindle.tables import SCHEMAS, Database
+
+
+@pytest.fixture(scope="module")
+def info(spark):
+    """All scalar types; NULLs first in group False, group True all NULL in zscore, a row of NULLs."""
+    day = dt.date(2021, 1, 1)
+    data = [
+        (1, False, day, None, -3, 10**12), (2, False, None, 0.5, 4, None), (3, True, dt.date(2020, 5, 1), None, None, 5),
+        (4, True, day, None, 7, -(10**12)), (5, False, day, -1.5, 0, 0), (None,) * 6,
+    ]
+    return spark.createDataFrame(data, SCHEMAS["info"])
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize(
+    "test, ids",
+    [
+        (lambda: E.gt("id", E.lit(3)), [4, 5]),
+        (lambda: E.lt("num1", E.lit(0)), [1]),
+        (lambda: E.gt("num2", E.lit(0)), [1, 3]),
+        (lambda: E.gt("zscore", E.lit(-0.5)), [2]),
+        (lambda: E.geq("date", E.date(2021, 1, 1)), [1, 4, 5]),
+        (lambda: F.col("cheated"), [3, 4]),
+        (lambda: E.neq("cheated", E.lit(True)), [1, 2, 5]),
+        (lambda: E.not_(E.and_(E.is_null("zscore"), E.eq("num1", E.lit(7)))), [1, 2, 5]),
+        (lambda: E.and_(E.is_null("zscore"), E.is_not_null("id")), [1, 3, 4]),
+        (lambda: E.in_("num1"), []),
+    ],
+)
+def test_filter_by_type(info, test, ids):
+    assert sorted(r.id for r in select(info, test()).collect()) == ids
+
+
+def test_three_valued_logic(spark):
+    df = spark.range(1)
+    n, t, f = E.null("boolean"), E.lit(True), E.lit(False)
+    r = df.select(E.and_(n, f), E.and_(n, t), E.or_(n, t), E.or_(n, f), E.not_(n)).first()
+    assert tuple(r) == (False, None, True, None, None)
+
+
+def test_vector_select(info):
+    filters = {"num1": [("<", 0), (">", 5)], "id": [("=", 5)]}
+    assert sorted(r.id for r in vector_select(info, ["id"], filters, conjunction=False).collect()) == [1, 4, 5]
+    assert vector_select(info, ["id"], filters).count() == 0
+    assert vector_select(info, ["id"], {}).count() == 6
+
+
+def test_scan_select_prunes_and_pushes_down(spark, sf_dir):
+    df = scan_select(Database(spark, sf_dir)["lineitem"], ["l_orderkey"], [F.col("l_quantity") < 3])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(l_quantity,3.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_like_and_regex(spark):
+    df = spark.createDataFrame([("",), ("x",), ("ax",), ("xa",), ("a_x",), ("a%x",), ("a.x",), ("axx\n",), (None,)], "s string")
+    hits = lambda c: [r.s for r in df.filter(c).collect()]
+    assert hits(E.like("s", "%x")) == ["x", "ax", "a_x", "a%x", "a.x"]
+    assert hits(E.like("s", "a_x")) == ["a_x", "a%x", "a.x"]
+    assert hits(E.like("s", "a\\_x")) == ["a_x"]
+    assert hits(E.not_(E.like("s", "%x%"))) == [""]
+    assert hits(E.matches("s", "a.x|x")) == ["x", "a_x", "a%x", "a.x"]
+    assert hits(E.matches("s", "axx")) == []
+    assert None in hits(E.not_(E.matches_or_false("s", "x"))) and None not in hits(E.not_(E.matches("s", "x")))
+
+
+def test_division(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, None), (3.0, 2.0)], "a double, b double")
+    assert [repr(r[0]) for r in df.select(E.div("a", "b")).collect()] == ["inf", "-inf", "nan", "None", "1.5"]
+    assert [r[0] for r in df.select(E.safe_div("a", "b")).collect()] == [None, None, None, None, 1.5]
+
+
+def test_sums_widen(spark):
+    df = spark.createDataFrame([(2**31 - 1,), (2**31 - 1,)], "a int")
+    assert aggregate(df, {"s": E.sum_("a")}).first().s == 2**32 - 2
+
+
+def test_aggregates_with_nulls(info):
+    out = group_by_aggregate(info, {"cheated": "cheated"}, {"n": E.count(), "c": E.count("zscore"), "s": E.sum_("zscore"), "a": E.avg("num1"), "lo": E.min_("date")})
+    assert got(out) == sorted(
+        [(False, 3, 2, -1.0, 1 / 3, dt.date(2021, 1, 1)), (True, 2, 0, None, 7.0, dt.date(2020, 5, 1)), (None, 1, 0, None, None, None)], key=repr
+    )
+
+
+def test_empty_aggregates(info):
+    none = select(info, E.lit(False))
+    assert tuple(aggregate(none, {"c": E.count("id"), "n": E.count(), "s": E.sum_("id")}).first()) == (0, 0, None)
+    assert tuple(aggregate(none, {"c": E.count_or_null("id"), "n": E.count_or_null()}).first()) == (None, None)
+    assert group_by_aggregate(none, {"k": "cheated"}, {"n": E.count()}).count() == 0
+
+
+def test_null_is_largest(info):
+    ids = lambda asc: [r.id for r in order_by(info, [("id", asc)]).collect()]
+    assert ids(True) == [1, 2, 3, 4, 5, None] and ids(False) == [None, 5, 4, 3, 2, 1]
+
+
+@pytest.mark.parametrize("strategy", [None, "merge", "shuffle_hash", "broadcast"])
+@pytest.mark.parametrize("key", ["id", "cheated", "date", "zscore", "num1", "num2"])
+def test_hash_join_by_type(info, key, strategy):
+    other = info.select(F.col(key).alias("k"), F.col("id").alias("other"))
+    want = sum(1 for a in info.collect() for b in info.collect() if a[key] is not None and a[key] == b[key])
+    assert hash_join(info, other, [(key, "k")], strategy).count() == want
+
+
+def test_multiway_join_orders_give_one_result(info):
+    t = {"a": info, "b": info, "c": info, "d": info}
+    preds = ["a.id = b.id", "b.cheated = c.cheated", "c.num1 < d.num1", "a.num1 >= 0", "a.id + c.id > d.id"]
+    one = got(multiway_join(t, preds).select("a.id", "b.id", "c.id", "d.id"))
+    assert one and all(got(multiway_join(t, preds, prefix=p).select("a.id", "b.id", "c.id", "d.id")) == one for p in (("d", "c"), ("b",), ("c", "a", "d", "b")))
+
+
+def test_multiway_join_disconnected_and_empty(info, spark):
+    assert multiway_join({"a": info, "b": spark.range(2)}, []).count() == 12
+    assert multiway_join({"a": info, "b": spark.range(0)}, ["a.id = b.id"]).count() == 0
+    assert multiway_join({"a": info}, ["a.id = 1", "1 = 2"]).count() == 0
+
+
+def test_join_order():
+    assert tables_of("a.x = b.y AND c.z = 'd.q'", "abcd") == {"a", "b", "c"}
+    refs = [frozenset("ab"), frozenset("bc"), frozenset("cd")]
+    assert join_order(list("abcd"), refs, {"a": 9, "b": 5, "c": 7, "d": 1}) == ["d", "c", "b", "a"]
+    assert join_order(list("abcd"), refs, {"a": 9, "b": 5, "c": 7, "d": 1}, ("a",)) == ["a", "b", "c", "d"]
+
+
+def test_skewed_join(spark):
+    hot = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+    assert hash_join(hot, spark.range(100).withColumnRenamed("id", "j"), [("k", "j")]).count() == 10_000 + 50
+
+
+def test_output_text(info):
+    lines = [r.line for r in output(info.orderBy(F.col("id").asc_nulls_last())).collect()]
+    assert lines[1] == "2|f||0.500000|4||" and lines[0] == "1|f|2021-01-01||-3|1000000000000|" and lines[-1] == "||||||"
+
+
+def test_delimited_round_trip(spark, tmp_path, info):
+    (tmp_path / "people.tbl").write_text('1|Ann|\n2|"a|b"|\n3||\n|"say ""hi"""|\n')
+    people = read_delimited(spark, str(tmp_path / "people.tbl"), "people")
+    assert [tuple(r) for r in people.collect()] == [(1, "Ann"), (2, "a|b"), (3, None), (None, 'say "hi"')]
+    write_delimited(info, str(tmp_path / "out"))
+    assert got(read_delimited(spark, str(tmp_path / "out"), "info")) == got(info)
+
+
+def test_columnar_round_trip(spark, tmp_path, info):
+    write_columnar(info, str(tmp_path / "c"), sort_by=["id"])
+    assert got(read_columnar(spark, str(tmp_path / "c"))) == got(info)
+
+
+def test_sql_statements(spark, sf_dir):
+    assert statements("SELECT ';' AS a; -- x;y\nSELECT 2 /* ; */;\n") == ["SELECT ';' AS a", "-- x;y\nSELECT 2 /* ; */"]
+    a, b = run_sql(Database(spark, sf_dir), "SELECT MIN(n.n_name) AS m FROM nation AS n WHERE n.n_nationkey > 3; SELECT count(*) AS c FROM region r GROUP BY ALL LIMIT 1")
+    assert a.first().m == "NATION_10" and b.first().c == 5
