@@ -12,6 +12,8 @@ from brindle.operators import (
     aggregate, cross_product, group_by_aggregate, hash_join, multiway_join, order_by, output, project, scalar_cross, scan, scan_select, select, vector_select,
 )
 from brindle.plans.job import star_by_sql, star_sql
+from brindle.scratch import shared_path
+from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
 from brindle.tables import Database
 
 Plan = Callable[[Database], DataFrame]
@@ -68,6 +70,22 @@ def output_text(db: Database) -> DataFrame:
     return output(project(db["nation"], values))
 
 
+@query("SELECT n_nationkey, nullif(n_name, 'NATION_3') AS n_name, CAST(NULL AS VARCHAR) AS n_comment FROM nation")
+def delimited_round_trip(db: Database) -> DataFrame:
+    """Text with NULL fields, written and read again in a schema of the reader's."""
+    path = shared_path(db.spark, "delimited")
+    name = F.nullif("n_name", F.lit("NATION_3"))
+    write_delimited(project(db["nation"], {"n_nationkey": "n_nationkey", "n_name": name, "n_regionkey": "n_regionkey", "n_comment": E.null("string")}), path)
+    return scan(read_delimited(db.spark, path, "nation"), ["n_nationkey", "n_name", "n_comment"])
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey < 100")
+def columnar_round_trip(db: Database) -> DataFrame:
+    path = shared_path(db.spark, "columnar")
+    write_columnar(scan(db["orders"], ["o_orderkey", "o_orderpriority"]), path, sort_by=["o_orderkey"])
+    return select(read_columnar(db.spark, path), F.col("o_orderkey") < 100)
+
+
 # Filters by type and predicate
 
 

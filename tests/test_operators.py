@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle import functions as E
 from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, order_by, output, scan_select, select, vector_select
 from brindle.operators.joins import join_order, tables_of
+from brindle.plans.inspect import plan_json, plan_text
 from brindle.plans.sql import run_sql, statements
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
 from brindle.tables import SCHEMAS, Database
@@ -164,3 +165,8 @@ def test_sql_statements(spark, sf_dir):
     assert statements("SELECT ';' AS a; -- x;y\nSELECT 2 /* ; */;\n") == ["SELECT ';' AS a", "-- x;y\nSELECT 2 /* ; */"]
     a, b = run_sql(Database(spark, sf_dir), "SELECT MIN(n.n_name) AS m FROM nation AS n WHERE n.n_nationkey > 3; SELECT count(*) AS c FROM region r GROUP BY ALL LIMIT 1")
     assert a.first().m == "NATION_10" and b.first().c == 5
+
+
+def test_plans_can_be_read(spark, sf_dir):
+    df = scan_select(Database(spark, sf_dir)["nation"], ["n_name"], [F.col("n_nationkey") > 3])
+    assert plan_json(df)[0]["class"].endswith("Project") and "Scan parquet" in plan_text(df)
