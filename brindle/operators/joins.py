@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.tables import KEYS
+
 #: Hints by strategy; None leaves the choice to Spark.
 STRATEGIES = {None: None, "merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast"}
 #: A broadcast hint is only given to inputs that Spark estimates at no more than this.
@@ -49,21 +51,43 @@ def tables_of(predicate: str, names: Sequence[str]) -> frozenset[str]:
     return frozenset(t for t in re.findall(r"\b([A-Za-z_]\w*)\s*\.\s*[A-Za-z_`]", bare) if t in names)
 
 
-def join_order(names: Sequence[str], predicates: Sequence[frozenset[str]], size: Mapping[str, int], prefix: Sequence[str] = ()) -> list[str]:
-    """``prefix``, then always the smallest table that a predicate connects to those before it; the smallest of
-    all where none is connected."""
+def _growth(n: str, bound: set[str], predicates: Sequence[str], unique: Collection[str]) -> int:
+    """How joining ``n`` to ``bound`` can multiply rows: 0, it looks up a unique column of ``n``; 1, ``n``'s rows look up
+    a unique column of a bound table; 2, many to many or not by equality; 3, no predicate connects them."""
+    out = 3
+    for p in predicates:
+        t = tables_of(p, [n, *bound])
+        if n not in t or len(t) < 2:
+            continue
+        out = min(out, 2)
+        if sides := re.fullmatch(r"\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*", p):
+            a, x, b, y = sides.groups()
+            mine, other = ((a, x), (b, y)) if a == n else ((b, y), (a, x))
+            single = lambda c: c[1] in unique or ".".join(c) in unique
+            out = min(out, 0 if single(mine) else 1 if single(other) else 2)
+    return out
+
+
+def join_order(names: Sequence[str], predicates: Sequence[str], size: Mapping[str, int], prefix: Sequence[str] = (), unique: Collection[str] = ()) -> list[str]:
+    """``prefix``, then always the table that multiplies rows least, the smallest of equals.
+
+    Joins on unique columns thus come before many-to-many ones, and those before products.
+    """
     order = list(prefix)
     rest = [n for n in names if n not in order]
     while rest:
-        near = [n for n in rest if any(n in p and p & set(order) for p in predicates)]
-        order.append(min(near or rest, key=lambda n: (size[n], names.index(n))))
+        order.append(min(rest, key=lambda n: (_growth(n, set(order), predicates, unique), size[n], names.index(n))))
         rest.remove(order[-1])
     return order
 
 
-def multiway_join(tables: Mapping[str, DataFrame], predicates: Sequence[str], prefix: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
+def multiway_join(
+    tables: Mapping[str, DataFrame], predicates: Sequence[str], prefix: Sequence[str] = (), strategy: str | None = None, unique: Collection[str] = KEYS
+) -> DataFrame:
     """N-way inner join on SQL predicates over aliased tables (``a.x = b.y``, theta and OR forms included).
 
+    ``unique`` names columns without repeated values (``column`` or ``alias.column``); it guides the order alone.
+
     Predicates on one table filter it before any join. Each other one is attached as soon as all its tables are
     bound, so equalities become join keys. Columns stay reachable as ``alias.column``.
     """
@@ -75,7 +99,7 @@ def multiway_join(tables: Mapping[str, DataFrame], predicates: Sequence[str], pr
         inputs[n] = reduce(lambda d, p: d.filter(F.expr(p)), own, df.alias(n))
     size = {n: estimated_bytes(df) for n, df in inputs.items()}
     shared = [(p, t) for p, t in refs if len(t) != 1]
-    order = join_order(names, [t for _, t in shared], size, prefix)
+    order = join_order(names, [p for p, _ in shared], size, prefix, unique)
     out, bound = inputs[order[0]], {order[0]}
     for n in order[1:]:
         bound.add(n)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import and_, case, contains, date, extract_year, or_, starts_with
 from brindle.operators import aggregate, group_by_aggregate, multiway_join, order_by, scalar_cross, scan, scan_select, select
-from brindle.tables import Database
+from brindle.tables import KEYS, Database
 
 MONEY = "l_extendedprice * (1 - l_discount)"
 
@@ -65,6 +65,7 @@ def q02(db: Database) -> DataFrame:
     best = multiway_join(
         {"o": offers, "m": least, "p": scan(db["part"], ["p_partkey", "p_name"])},
         ["o.l_partkey = m.m_partkey", "o.l_extendedprice = m.m_price", "p.p_partkey = o.l_partkey"],
+        unique={*KEYS, "m_partkey"},
     )
     out = best.select("s_acctbal", "s_name", "n_name", "p_partkey", "p_name", F.col("m_price").alias("price"))
     return order_by(out, [("s_acctbal", False), ("n_name", True), ("s_name", True), ("p_partkey", True)])
@@ -240,6 +241,7 @@ def q18(db: Database) -> DataFrame:
     j = multiway_join(
         {"b": large, "o": scan(db["orders"], ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]), "c": scan(db["customer"], ["c_custkey", "c_name"])},
         ["b.b_orderkey = o.o_orderkey", "c.c_custkey = o.o_custkey"],
+        unique={*KEYS, "b_orderkey"},
     )
     out = j.select("c_name", "c_custkey", "o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_totalprice", cents(F.col("b_quantity")).alias("sum_quantity"))
     return order_by(out, [("o_totalprice", False), ("o_orderdate", True)])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+#: Columns without repeated values.
+KEYS = frozenset({"r_regionkey", "n_nationkey", "c_custkey", "s_suppkey", "p_partkey", "o_orderkey"})
 #: Timestamps without a time of day that are dates in the data model.
 DATES = {"orders": ("o_orderdate",), "lineitem": ("l_shipdate",)}
 

@@ -11,7 +11,7 @@ from brindle.operators.joins import join_order, tables_of
 from brindle.plans.inspect import plan_json, plan_text
 from brindle.plans.sql import run_sql, statements
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
-from brindle.tables import SCHEMAS, Database
+from brindle.tables import KEYS, SCHEMAS, Database
 
 
 @pytest.fixture(scope="module")
@@ -133,9 +133,16 @@ def test_multiway_join_disconnected_and_empty(info, spark):
 
 def test_join_order():
     assert tables_of("a.x = b.y AND c.z = 'd.q'", "abcd") == {"a", "b", "c"}
-    refs = [frozenset("ab"), frozenset("bc"), frozenset("cd")]
-    assert join_order(list("abcd"), refs, {"a": 9, "b": 5, "c": 7, "d": 1}) == ["d", "c", "b", "a"]
-    assert join_order(list("abcd"), refs, {"a": 9, "b": 5, "c": 7, "d": 1}, ("a",)) == ["a", "b", "c", "d"]
+    chain, size = ["a.x = b.x", "b.y = c.y", "c.z = d.z"], {"a": 9, "b": 5, "c": 7, "d": 1}
+    assert join_order(list("abcd"), chain, size) == ["d", "c", "b", "a"]
+    assert join_order(list("abcd"), chain, size, ("a",)) == ["a", "b", "c", "d"]
+
+
+def test_join_order_leaves_many_to_many_for_last():
+    cycle = ["c.c_custkey = o.o_custkey", "l.l_orderkey = o.o_orderkey", "l.l_suppkey = s.s_suppkey", "c.c_nationkey = s.s_nationkey", "s.s_nationkey = n.n_nationkey"]
+    size = {"c": 10, "o": 100, "l": 400, "s": 2, "n": 1}
+    assert join_order(list("colsn"), cycle, size, unique=KEYS) == ["n", "s", "l", "o", "c"]
+    assert join_order(list("colsn"), cycle, size) == ["n", "s", "c", "o", "l"]
 
 
 def test_skewed_join(spark):
