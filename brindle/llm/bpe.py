@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches
+from brindle.llm.common import give_back, small_batches
 
 CHUNK_CHARS = 8 << 20
 #: Encoded words that a task remembers before it starts afresh (it then encodes some words again).
@@ -191,6 +191,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                         made, chunk = made + 1, Chunk(find)
         if chunk.keys:
             yield chunk.rows(part << 32 | made, buckets)
+        del chunk
+        give_back()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})
@@ -216,6 +218,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 bucket, data = b[at].as_py(), w[at].as_py()
                 answered = pa.array([data if bucket == DOCS else answer(data)], pa.binary())
                 yield pa.RecordBatch.from_arrays([c.slice(at, 1), b.slice(at, 1), answered, p.slice(at, 1)], ["chunk", "bucket", "words", "places"])
+        known.clear()
+        give_back()
 
     sent = d.mapInArrow(words, ROW)
     spread = F.when(F.col("bucket") == DOCS, F.xxhash64("chunk")).otherwise(F.col("bucket").cast("long"))
@@ -244,5 +248,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
             texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at[of].tobytes()), data])
             texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.large_binary())).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*rest, out])
+        give_back()
 
     return encoded.select(*rest).mapInArrow(join, schema)

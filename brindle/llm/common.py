@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.scratch import shared_path, shared_root
+
+__all__ = ["NOT_SPACE", "SPACE", "cut", "give_back", "let", "shared_path", "shared_root", "small_batches", "stored", "table", "words"]
+
 #: The six ASCII white-space characters, as a class for Java's and DuckDB's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -17,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests, local mode) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="brindle-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
@@ -62,3 +51,11 @@ def small_batches(spark: SparkSession) -> None:
         key = f"spark.sql.execution.arrow.{key}"
         if default is None or spark.conf.get(key) == default:
             spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system: workers stay for tasks that may need less."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

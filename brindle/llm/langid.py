@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches
+from brindle.llm.common import give_back, small_batches
 
 UNKNOWN = "und"
 LENGTHS = (4, 3, 2, 1)
@@ -43,10 +43,10 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: of words at length 0, of n-grams at length n."""
+    """Log frequencies by language, of words at length 0 and of n-grams at length n: rows by gram, and the rows."""
 
     langs: list[str]
-    logs: dict[int, dict[str, np.ndarray]]
+    logs: dict[int, tuple[dict[str, int], np.ndarray]]
 
     @classmethod
     def from_counts(cls, rows: list[tuple[str, int, str, int]], smooth: float = 0.5) -> LanguageModel:
@@ -55,18 +55,17 @@ class LanguageModel:
         counts: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
         for lang, n, gram, c in rows:
             counts[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] = c
-        logs: dict[int, dict[str, np.ndarray]] = {}
+        logs = {}
         for n, table in counts.items():
             m = np.vstack(list(table.values())) + smooth
-            m = np.log(m / m.sum(axis=0)).astype(np.float32)
-            logs[n] = dict(zip(table, m, strict=True))
+            logs[n] = ({g: i for i, g in enumerate(table)}, np.log(m / m.sum(axis=0)).astype(np.float32))
         return cls(langs, logs)
 
     def unseen(self, word: str) -> np.ndarray:
         for n in LENGTHS:
-            table = self.logs.get(n, {})
-            if found := [table[g] for g in _grams(word, n) if g in table]:
-                return np.mean(found, axis=0)
+            at, rows = self.logs.get(n, ({}, None))
+            if found := [at[g] for g in _grams(word, n) if g in at]:
+                return rows[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -76,13 +75,10 @@ class Scorer(dict):
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
-        known = model.logs.get(0, {})
-        self.rows = np.zeros((len(known) + 1024, len(model.langs)), np.float32)
-        self.start = len(known)
-        for i, (w, v) in enumerate(known.items()):
-            self[w] = i
-            self.rows[i] = v
-        self.known = dict(self)
+        self.known, rows = model.logs.get(0, ({}, np.zeros((0, len(model.langs)), np.float32)))
+        self.start = len(self.known)
+        self.rows = np.concatenate([rows, np.zeros((1024, len(model.langs)), np.float32)])
+        self.update(self.known)
 
     def __missing__(self, word: str) -> int:
         i = len(self)
@@ -118,7 +114,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for n in LENGTHS:
                 out[n].update(_grams(w, n))
         for n, c in out.items():
-            yield pd.DataFrame({"lang": lang, "n": n, "gram": list(c), "c": list(c.values())})
+            if c:
+                yield pd.DataFrame({"lang": lang, "n": n, "gram": list(c), "c": list(c.values())})
+    del seen
+    give_back()
 
 
 def fit(
@@ -156,6 +155,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
         scorer = Scorer(LanguageModel(*shared.value))
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang", "score"])
+        del scorer
+        give_back()
 
     out = docs.withColumn("_language", predict(F.col(text)))
     return out.withColumns({pred: F.col("_language.lang"), score: F.col("_language.score")}).drop("_language")

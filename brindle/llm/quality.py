@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches
+from brindle.llm.common import give_back, small_batches
 
 BYTES, PAIRS = 129, 512
 #: Steps at which the shares of repeated windows and lines become features of their own.
@@ -83,10 +83,10 @@ class QualityModel:
 
 
 def _descend(gradient, width: int, steps: int, rate: float) -> np.ndarray:
-    """Adam from zero; ``gradient`` maps the weights (bias last) to their gradient."""
+    """Adam from zero; ``gradient`` maps the weights (bias last; in the samples' precision) to their gradient."""
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     for t in range(1, steps + 1):
-        g = gradient(w)
+        g = gradient(w.astype(np.float32))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -110,10 +110,10 @@ def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 300, decay: float =
     """The model of positives ``xp`` and unlabelled ``xu``; 0.5 for everything where there are under 2 of either."""
     if len(xp) < 2 or len(xu) < 2:
         return QualityModel(None, 0.0, np.zeros(WIDTH), np.ones(WIDTH), 0.5)
-    mean = xu.mean(axis=0)
+    mean = xu.mean(axis=0).astype(np.float32)
     scale = (1 / np.maximum(xu.std(axis=0), 0.02)).astype(np.float32)
     p, u = (np.hstack([(x - mean) * scale, np.ones((len(x), 1), np.float32)]) for x in (xp, xu))
-    shrink = np.full(p.shape[1], decay)
+    shrink = np.full(p.shape[1], decay, np.float32)
     shrink[-1] = 0
 
     def apart(half: int) -> float:
@@ -123,7 +123,7 @@ def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 300, decay: float =
         def gradient(w):
             return (-(1 - sigmoid(a @ w)) @ a / len(a) + sigmoid(b @ w) @ b / len(b)) / 2 + shrink * w
 
-        w = _descend(gradient, p.shape[1], steps // 2, rate)
+        w = _descend(gradient, p.shape[1], steps // 2, rate).astype(np.float32)
         return estimate_prior(p[1 - half :: 2] @ w, u[1 - half :: 2] @ w)
 
     prior = (apart(0) + apart(1)) / 2
@@ -187,5 +187,6 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", score: st
         model = QualityModel(*shared.value)
         for texts in batches:
             yield pd.Series(model.score(matrix(texts)))
+        give_back()
 
     return docs.withColumn(score, predict(F.col(text)))

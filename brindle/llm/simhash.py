@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches, stored
+from brindle.llm.common import give_back, small_batches, stored
 from brindle.llm.components import Forest, components
 
 LOW = 0x5555555555555555
@@ -69,6 +69,7 @@ def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp") -> DataF
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        give_back()
 
     return docs.withColumn(out, of(F.col(text)))
 
