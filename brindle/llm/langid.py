@@ -61,16 +61,36 @@ class LanguageModel:
             logs[n] = ({g: i for i, g in enumerate(table)}, np.log(m / m.sum(axis=0)).astype(np.float32))
         return cls(langs, logs)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def grams(self, word: str) -> tuple[int, list[int]]:
+        """The longest length at which n-grams of the word are known, and their rows there; 0 and none otherwise."""
+        p = f"^{word}$"
         for n in LENGTHS:
-            at, rows = self.logs.get(n, ({}, None))
-            if found := [at[g] for g in _grams(word, n) if g in at]:
-                return rows[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            if n in self.logs:
+                get = self.logs[n][0].get
+                if found := [x for i in range(len(p) - n + 1) if (x := get(p[i : i + n])) is not None]:
+                    return n, found
+        return 0, []
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: the mean over its known n-grams, or zeros."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        by_length: dict[int, tuple[list[int], list[int], list[int]]] = {n: ([], [], []) for n in LENGTHS}
+        for k, w in enumerate(words):
+            n, found = self.grams(w)
+            if n:
+                which, counts, rows = by_length[n]
+                which.append(k)
+                counts.append(len(found))
+                rows += found
+        for n, (which, counts, rows) in by_length.items():
+            if which:
+                c = np.array(counts)
+                out[which] = np.add.reduceat(self.logs[n][1][rows], np.cumsum(c) - c, axis=0) / c[:, None]
+        return out
 
 
 class Scorer(dict):
-    """Word to row of a growing score matrix; unseen words are scored when first met."""
+    """Word to row of a growing score matrix; a text's unseen words are scored together when first met."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -80,13 +100,12 @@ class Scorer(dict):
         self.rows = np.concatenate([rows, np.zeros((1024, len(model.langs)), np.float32)])
         self.update(self.known)
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.unseen(word)
-        self[word] = i
-        return i
+    def learn(self, words: list[str]) -> None:
+        start, end = len(self), len(self) + len(words)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
+        self.rows[start:end] = self.model.unseen(words)
+        self.update(zip(words, range(start, end), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior; ``und`` and 0 for null texts and texts without a letter."""
@@ -96,7 +115,10 @@ class Scorer(dict):
         if len(self) > self.start + REMEMBERED:
             self.clear()
             self.update(self.known)
-        ids = [self[w] for w in found]
+        ids = list(map(self.get, found))
+        if None in ids:
+            self.learn(list({w for w, i in zip(found, ids, strict=True) if i is None}))
+            ids = list(map(self.__getitem__, found))
         total = self.rows[ids].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())

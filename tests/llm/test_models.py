@@ -26,7 +26,9 @@ def test_words_come_before_ngrams():
     assert s.score("words")[0] == "b"  # a 4-gram of it is known
     assert s.score("xz")[0] == "b" and s.score("zy")[0] == "a" and s.score("q")[0] == "a" and s.score("r")[0] == "b"
     at, logs = m.logs[4]
-    assert np.allclose(m.unseen("words"), logs[at["^wor"]]) and np.allclose(m.unseen("jjj"), 0)
+    found = m.unseen(["words", "jjj", "xz", "^wor"])
+    assert np.allclose(found[0], logs[at["^wor"]]) and not found[1].any()
+    assert np.allclose(found[2], m.logs[2][1][m.logs[2][0]["^x"]]) and m.grams("words") == (4, [at["^wor"]])
     a = np.log(8.5 / 11)
     b = np.log(2.5 / 11)
     assert s.score("word")[1] == pytest.approx(1 / (1 + np.exp(b - a)), rel=1e-5)
