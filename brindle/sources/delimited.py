@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from brindle.tables import SCHEMAS
+from brindle.tables import MOVIE_SCHEMAS, SCHEMAS
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str | StructType, sep: str = "|") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: str | StructType, sep: str = "|", escape: str = '"') -> DataFrame:
     """Rows of a file or folder in the given schema (a StructType, DDL, or the name of a known table).
 
-    A trailing separator is ignored. Booleans are true where the text is ``true``, false for any other text.
+    A trailing separator is ignored. ``escape`` precedes quotes inside quoted fields. Booleans are true where the text is ``true``, false for any other text.
     """
-    wanted = SCHEMAS.get(schema, schema) if isinstance(schema, str) else schema
+    wanted = (MOVIE_SCHEMAS | SCHEMAS).get(schema, schema) if isinstance(schema, str) else schema
     wanted = StructType.fromDDL(wanted) if isinstance(wanted, str) else wanted
     raw = StructType([StructField(f.name, StringType() if isinstance(f.dataType, BooleanType) else f.dataType, True) for f in wanted])
-    df = spark.read.csv(path, schema=raw, sep=sep, nullValue="", emptyValue="", quote='"', escape='"', mode="PERMISSIVE", dateFormat="yyyy-MM-dd")
+    df = spark.read.csv(path, schema=raw, sep=sep, nullValue="", emptyValue="", quote='"', escape=escape, mode="PERMISSIVE", dateFormat="yyyy-MM-dd")
     return df.select(*((df[f.name] == "true").alias(f.name) if isinstance(f.dataType, BooleanType) else df[f.name] for f in wanted))
 
 

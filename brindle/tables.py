@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +30,48 @@ SCHEMAS = {
     ),
 }
 
+_INTS = "id person_id movie_id person_role_id nr_order role_id imdb_id subject_id status_id company_id company_type_id info_type_id kind_id keyword_id linked_movie_id link_type_id production_year episode_of_id season_nr episode_nr"
+#: The movie database of the join-order benchmark: fixed column names, in file order. Columns in _INTS are ints, others text.
+MOVIES = {
+    "aka_name": "id person_id name imdb_index name_pcode_cf name_pcode_nf surname_pcode md5sum",
+    "aka_title": "id movie_id title imdb_index kind_id production_year phonetic_code episode_of_id season_nr episode_nr note md5sum",
+    "cast_info": "id person_id movie_id person_role_id note nr_order role_id",
+    "char_name": "id name imdb_index imdb_id name_pcode_nf surname_pcode md5sum",
+    "comp_cast_type": "id kind",
+    "company_name": "id name country_code imdb_id name_pcode_nf name_pcode_sf md5sum",
+    "company_type": "id kind",
+    "complete_cast": "id movie_id subject_id status_id",
+    "info_type": "id info",
+    "keyword": "id keyword phonetic_code",
+    "kind_type": "id kind",
+    "link_type": "id link",
+    "movie_companies": "id movie_id company_id company_type_id note",
+    "movie_info": "id movie_id info_type_id info note",
+    "movie_info_idx": "id movie_id info_type_id info note",
+    "movie_keyword": "id movie_id keyword_id",
+    "movie_link": "id movie_id linked_movie_id link_type_id",
+    "name": "id name imdb_index imdb_id gender name_pcode_cf name_pcode_nf surname_pcode md5sum",
+    "person_info": "id person_id info_type_id info note",
+    "role_type": "id role",
+    "title": "id title imdb_index kind_id production_year imdb_id phonetic_code episode_of_id season_nr episode_nr series_years md5sum",
+}
+MOVIE_SCHEMAS = {t: ", ".join(f"{c} {'int' if c in _INTS.split() else 'string'}" for c in cols.split()) for t, cols in MOVIES.items()}
+
 
 class Database:
-    """Tables by name; ``db["orders"]`` is a DataFrame with dates as dates."""
+    """Tables by name, read from Parquet below a folder; ``db["orders"]`` is a DataFrame with dates as dates."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Sequence[str] = TABLES):
+        self.spark, self.dir, self.tables = spark, sf_dir.rstrip("/"), tuple(tables)
 
     def __getitem__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return df.withColumns({c: F.col(c).cast("date") for c in DATES.get(name, ())})
 
     def __contains__(self, name: str) -> bool:
-        return name in TABLES
+        return name in self.tables
 
     def register(self) -> None:
         """Every table as a temporary view of its name."""
-        for name in TABLES:
+        for name in self.tables:
             self[name].createOrReplaceTempView(name)
