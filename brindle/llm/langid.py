@@ -4,8 +4,8 @@ A word the model knows scores by its log frequency in each language. An unseen w
 character n-grams of its padded form, the longest first; a shorter length is tried only where the model knows
 none of the longer. A document's language is that of the highest sum over its words.
 
-The model is fitted on a bounded sample of labelled rows (``docs_per_lang`` rows of each language, chosen by a
-hash) and keeps ``words_per_lang`` words and ``grams_per_lang`` n-grams of each length: its size does not
+The model is fitted on a sample of labelled rows (about ``docs_per_lang`` distinct texts of each language, chosen by a
+hash of the text, so copies are taken together or not at all) and keeps ``words_per_lang`` words and ``grams_per_lang`` n-grams of each length: its size does not
 depend on the corpus, so it is broadcast.
 """
 

@@ -331,6 +331,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     p = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("target_uri"), body.alias("payload"))
     p = p.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     top = p.groupBy("sha", "n").agg(F.max("k").alias("top")).select(F.col("sha").alias("sha_"), F.col("n").alias("n_"), "top")
+    # Only the digest is a key: a join on both columns would reuse the aggregate's partitioning, which cannot be split.
     all_ = p.join(top, (F.col("sha") == F.col("sha_")) & (F.col("n") <= F.col("n_")) & (F.col("n") >= F.col("n_")), "inner")
     again = F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top")) & (F.col("n") >= least_bytes)
     name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")))
