@@ -4,8 +4,8 @@ A word the model knows scores by its log frequency in each language. An unseen w
 character n-grams of its padded form, the longest first; a shorter length is tried only where the model knows
 none of the longer. A document's language is that of the highest sum over its words.
 
-The model is fitted on a sample of labelled rows (about ``docs_per_lang`` distinct texts of each language, chosen by a
-hash of the text, so copies are taken together or not at all) and keeps ``words_per_lang`` words and ``grams_per_lang`` n-grams of each length: its size does not
+The model is fitted on a sample of labelled rows (the ``docs_per_lang`` distinct texts of each language with the lowest
+hashes, or all where it has no more, each text once however many copies it has) and keeps ``words_per_lang`` words and ``grams_per_lang`` n-grams of each length: its size does not
 depend on the corpus, so it is broadcast.
 """
 
@@ -142,6 +142,25 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
+def _below(d: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    return d.where(F.col("h") <= F.create_map(*(F.lit(x) for b in bounds.items() for x in b))[F.col("lang")])
+
+
+def _lowest(d: DataFrame, sizes: dict[str, int], k: int) -> DataFrame:
+    """Rows of ``d`` with the ``k`` lowest hashes ``h`` of their language, which has ``sizes`` distinct ones.
+
+    Hashes are even over the longs, so those under a bound that twice ``k`` and a hundred are expected under hold the
+    ``k`` lowest; only they are gathered, and only languages of more than ``k``.
+    """
+    top = (1 << 63) - 1
+    wide = {x: min(top, int((2 * k + 100) / n * (1 << 64)) - (1 << 63)) for x, n in sizes.items() if n > k}
+    bounds = dict.fromkeys(sizes, top)
+    if wide:
+        few = _below(d.select("lang", "h"), wide).distinct().groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h"))
+        bounds |= {r["lang"]: r["h"] for r in few.select("lang", F.get("h", F.lit(k - 1)).alias("h")).where("h IS NOT NULL").toLocalIterator()}
+    return _below(d, bounds)
+
+
 def fit(
     docs: DataFrame,
     text: str = "text",
@@ -153,15 +172,14 @@ def fit(
     """A model of the non-null languages of ``docs``. No labelled rows: a model that answers ``und`` only."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = d.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    d = d.withColumn("h", F.xxhash64("text"))
+    sizes = d.select("lang", "h").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return LanguageModel([], {})
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = d.where(chance < share[F.col("lang")])
-    counts = sample.mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    sample = _lowest(d, {r["lang"]: r["count"] for r in sizes}, docs_per_lang).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    counts = sample.select("text", "lang").mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     top = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
     return LanguageModel.from_counts([tuple(r) for r in top.select("lang", "n", "gram", "c").toLocalIterator()])

@@ -57,6 +57,23 @@ def test_identify_edges(spark):
     assert {r.lang_pred for r in identify(df, nothing).collect()} == {"und"}
 
 
+def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
+    """Each of the lowest hashes' texts is learnt from once, whatever the number of copies of it or of others."""
+    read = []
+    kept = LanguageModel.from_counts.__func__
+    monkeypatch.setattr(LanguageModel, "from_counts", classmethod(lambda cls, rows: (read.extend(rows), kept(cls, rows))[1]))
+    few = spark.range(4000).selectExpr("concat('few', char(97 + id % 4)) text", "'few' lang")
+    hot = spark.range(5000).selectExpr("IF(id < 4000, 'hot', concat('rare', translate(id, '0123456789', 'abcdefghij'))) text", "'hot' lang")
+    for k in (1, 3, 50, 700, 5000):
+        read.clear()
+        docs = few.union(hot)
+        assert langid.fit(docs.repartition(7), docs_per_lang=k).langs == ["few", "hot"]
+        got = {x: {(g, c) for lang, n, g, c in read if n == 0 and lang == x} for x in ("few", "hot")}
+        for x in got:
+            rows = docs.where(F.col("lang") == x).select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(k).collect()
+            assert got[x] == {(r.text, 1) for r in rows}
+
+
 def test_fold(spark):
     df = spark.createDataFrame([(k,) for k in range(50)] + [(None,)], "doc_id long")
     for r in df.withColumn("h", held_out(F.col("doc_id"), 3, 1)).collect():
