@@ -235,6 +235,14 @@ def join_null_keys(db: Database) -> DataFrame:
     return group_by_aggregate(j, {"x": F.col("a.c_custkey")}, {"n": E.count()})
 
 
+@query(f"SELECT a.c_custkey AS x, count(*) AS n FROM ({NULLED}) a, ({NULLED}) b WHERE a.seg = b.seg GROUP BY 1")
+def join_null_keys_whole(db: Database) -> DataFrame:
+    """All customers on both sides; one is counted by key first, so the pairs of a hot key are never rows."""
+    sizes = group_by_aggregate(_nulled(db), {"seg": "seg"}, {"m": E.count()})
+    j = multiway_join({"a": _nulled(db), "b": sizes}, ["a.seg = b.seg"])
+    return group_by_aggregate(j, {"x": F.col("a.c_custkey")}, {"n": F.sum("b.m")})
+
+
 @query("SELECT n1.n_name AS a, n2.n_name AS b FROM nation n1, nation n2 WHERE n1.n_regionkey = n2.n_regionkey AND n1.n_nationkey < n2.n_nationkey")
 def self_join(db: Database) -> DataFrame:
     j = multiway_join({"n1": db["nation"], "n2": db["nation"]}, ["n1.n_regionkey = n2.n_regionkey", "n1.n_nationkey < n2.n_nationkey"])

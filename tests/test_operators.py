@@ -1,6 +1,7 @@
 """Operators on small typed tables with NULLs."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle import functions as E
 from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, order_by, output, scan_select, select, vector_select
 from brindle.operators.joins import join_order, tables_of
+from brindle.plans import catalogue
 from brindle.plans.inspect import plan_json, plan_text
 from brindle.plans.sql import run_sql, statements
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
@@ -155,6 +157,16 @@ def test_output_text(info):
     assert lines[1] == "2|f||0.500000|4||" and lines[0] == "1|f|2021-01-01||-3|1000000000000|" and lines[-1] == "||||||"
 
 
+def test_null_keys_of_whole_tables(spark, tmp_path):
+    """Against a loop over all pairs, with a hot segment, a NULL one, repeated ids and ids far above 40."""
+    data = [(k % 250 * 7, ["MACHINERY", "MACHINERY", "MACHINERY", "BUILDING", "FURNITURE", None][k % 6], 1.0) for k in range(300)]
+    spark.createDataFrame(data, "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    db = Database(spark, str(tmp_path))
+    seen = [(r.c_custkey, r.seg) for r in catalogue._nulled(db).collect()]
+    want = Counter(a for a, s in seen for _, t in seen if s is not None and s == t)
+    assert any(s is None for _, s in seen) and got(catalogue.join_null_keys_whole(db)) == sorted(want.items(), key=repr)
+
+
 def test_delimited_round_trip(spark, tmp_path, info):
     (tmp_path / "people.tbl").write_text('1|Ann|\n2|"a|b"|\n3||\n|"say ""hi"""|\n')
     people = read_delimited(spark, str(tmp_path / "people.tbl"), "people")
