@@ -86,6 +86,24 @@ def columnar_round_trip(db: Database) -> DataFrame:
     return select(read_columnar(db.spark, path), F.col("o_orderkey") < 100)
 
 
+def _columnar_orders(db: Database) -> DataFrame:
+    """Orders written, sorted by date, and read again."""
+    path = shared_path(db.spark, "columnar")
+    write_columnar(scan(db["orders"], ["o_orderkey", "o_orderpriority", "o_orderdate"]), path, sort_by=["o_orderdate"])
+    return read_columnar(db.spark, path)
+
+
+@query("SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
+def columnar_round_trip_whole(db: Database) -> DataFrame:
+    return _columnar_orders(db)
+
+
+@query("SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_orderdate >= DATE '2000-01-01'")
+def columnar_round_trip_pushed(db: Database) -> DataFrame:
+    """A share of the rows that does not fall with the table's size, by a filter that the files are read with."""
+    return select(_columnar_orders(db), E.geq("o_orderdate", E.date(2000, 1, 1)))
+
+
 # Filters by type and predicate
 
 
