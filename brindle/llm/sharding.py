@@ -64,3 +64,9 @@ def place(df: DataFrame, key: str, shards: Sequence[str], size: int = SIZE, out:
     table = df.sparkSession.range(1).select(F.posexplode(held).alias("slot", "_k")).select("slot", F.element_at(names, F.col("_k").cast("int") + 1).alias(out))
     rest = [c for c in df.columns if c not in ("slot", out)]
     return df.select(*rest, slot(F.col(key), size).alias("slot")).join(F.broadcast(table), "slot").select(*rest, "slot", out)
+
+
+def lay_out(df: DataFrame, key: str, shards: Sequence[str], path: str, size: int = SIZE, out: str = "shard") -> None:
+    """Writes whole rows as Parquet, each in the folder of its shard. A shard is a task's work, but a large one is split
+    over several (by adaptive execution), so it may have several files."""
+    place(df, key, shards, size, out).hint("rebalance", out).write.partitionBy(out).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from brindle.llm.mixing import apportion, copies, mix, targets
 from brindle.llm.rules import BASE, RULES, STRICT, Policy, ablation, apply_policy, measured, rule_ledger
-from brindle.llm.sharding import lookup_table, place
+from brindle.llm.sharding import lay_out, lookup_table, place
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,3 +207,24 @@ def test_place(spark):
     assert len(out) == 3 and len({(r.slot, r.shard) for r in out if r.doc_id == 1}) == 1
     table = lookup_table(["a", "b"], 101)
     assert all(r.shard == "ab"[table[r.slot]] for r in out) and place(df.limit(0), "doc_id", ["a"], 101).count() == 0
+
+
+def test_whole_rows_are_laid_out_by_shard(spark, tmp_path):
+    """Hot, NULL and repeated keys: each row is in its shard's folder once, whole, and a large shard has several files."""
+    rng = random.Random(4)
+    data = [(7 if k % 2 else None if k % 50 == 0 else k, rng.randbytes(1500).hex(), k) for k in range(4000)]
+    df, names = spark.createDataFrame(data, "doc_id long, text string, n long"), ["a", "b", "c"]
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        lay_out(df, "doc_id", names, str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(r.doc_id, r.text, r.n, r.shard) for r in place(df, "doc_id", names).collect()}
+    got = [(r.doc_id, r.text, r.n, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(data) and set(got) == want
+    hot = next(s for k, _, _, s in want if k == 7)
+    assert len(list((tmp_path / "out" / f"shard={hot}").glob("*.parquet"))) > 1
