@@ -18,12 +18,16 @@ from brindle.llm.queries_bpe import digests
 from brindle.llm.queries_quality import GOOD, quality_model
 from brindle.llm.simhash import representatives
 
-#: A language whose posterior is lower is not relied on.
+#: A language whose posterior is lower is not relied on; few but very short texts have so low a one.
 SURE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents without a language, or with none that is likelier than not."""
+    """Goes: documents without a letter; in practice hardly any other.
+
+    The posterior compares the labelled languages with each other and is near 1 after a few words of any text, so SURE
+    rejects only some very short texts. Text of no labelled language, or of no language, stays.
+    """
     found = identify(docs, fit(docs.where(~held_out(F.col("doc_id"), 3, 1))), pred="_lang", score="_sure")
     return found.where((F.col("_lang") != UNKNOWN) & (F.col("_sure") >= SURE)).select(*docs.columns)
 
