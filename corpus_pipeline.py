@@ -39,7 +39,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: all but the document with the smallest id of each group of near-duplicates."""
+    """Goes: all but the document with the smallest id of each group of near-duplicates, as op3 has them.
+
+    That is 3-word shingles and fingerprints within 3 bits, not a five-word similarity of 0.8: most near copies by the
+    latter stay (README).
+    """
     return representatives(docs)
 
 
