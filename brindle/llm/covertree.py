@@ -8,9 +8,12 @@ threshold distance. A dual traversal starts from two roots and replaces a surviv
 their children; pairs of points that are left are verified by their cosine in double precision.
 
 A label with more than ``block_rows`` distinct vectors is dealt into blocks around centres taken from its own rows
-(a bounded number, from a hash order; which they are affects speed alone). Pairs of blocks are pruned by the same
-bound; each surviving pair is one task's work, which returns every vector's number of links there and one row for
-each vector of a spanning forest, never the pairs.
+(a bounded number, from a hash order; which they are affects speed alone), and a block that is still too large is
+dealt again around centres of its own. Pairs of blocks are pruned by the same bound, and so is each vector of a
+block against the other block's centre; each surviving pair is one task's work, which returns every vector's number
+of links there and one row for each vector of a spanning forest, never the pairs.
+
+The nodes of all this are distinct vectors of a label, numbered when their table is written. Ids come back at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import small_batches, stored
@@ -118,26 +121,39 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterat
                 yield s[ok], t[ok]
 
 
+def _spanning(forest: Forest, names: np.ndarray, s: np.ndarray, t: np.ndarray) -> None:
+    """Joins the ends of the links ``s``-``t`` (places in ``names``) in the forest. Each pass joins one link of every
+    vector that still has one across trees, so the Python loop is over vectors and not over links."""
+    while len(s):
+        _, first = np.unique(s, return_index=True)
+        for a, b in zip(names[s[first]].tolist(), names[t[first]].tolist(), strict=True):
+            forest.join(a, b)
+        root = np.array([forest.root(a) for a in names.tolist()])
+        across = root[s] != root[t]
+        s, t = s[across], t[across]
+
+
 def _compare(threshold: float):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between the sides of a pair of blocks: how many copies each vector is linked to, and a forest."""
+        """Links between the sides of a pair of blocks: how many rows each vector is linked to, and a forest."""
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = not len(right)
+        same = int(pdf["i"].iat[0]) == int(pdf["j"].iat[0])
         right = left if same else right
-        ids, other = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
-        counts, counts_other = left["copies"].to_numpy(np.int64), right["copies"].to_numpy(np.int64)
-        found: dict[int, int] = {}
-        forest = Forest()
+        names = left["node"].to_numpy(np.int64) if same else np.concatenate([left["node"], right["node"]]).astype(np.int64)
+        copies = left["copies"].to_numpy(np.int64) if same else np.concatenate([left["copies"], right["copies"]]).astype(np.int64)
+        shift = 0 if same else len(left)
+        found, forest = np.zeros(len(names), np.int64), Forest()
         if len(left) and len(right):
             x = np.vstack(left["v"].to_numpy()).astype(np.float64)
             y = x if same else np.vstack(right["v"].to_numpy()).astype(np.float64)
             for s, t in linked(x, y, threshold, same):
-                for k, r in zip(s.tolist(), t.tolist(), strict=True):
-                    p, q = int(ids[k]), int(other[r])
-                    found[p] = found.get(p, 0) + int(counts_other[r])
-                    found[q] = found.get(q, 0) + int(counts[k])
-                    forest.join(p, q)
-        return pd.DataFrame([(p, n, forest.root(p)) for p, n in found.items()], columns=["rep", "links", "root"], dtype="int64")
+                t = t + shift
+                np.add.at(found, s, copies[t])
+                np.add.at(found, t, copies[s])
+                _spanning(forest, names, s, t)
+        on = np.flatnonzero(found)
+        roots = [forest.root(a) for a in names[on].tolist()]
+        return pd.DataFrame({"node": names[on], "links": found[on], "root": np.array(roots, np.int64)})
 
     return of
 
@@ -160,80 +176,108 @@ def grouped(
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Rows with a null label or an invalid vector (null, empty, zero, null or non-finite components) link with
-    nothing and are their own component, as do rows with a null key, whose component_id is null. Vectors of
-    different lengths never link. Equal vectors of a label are compared once, as one vector with a number of copies;
-    rows that share a key count as rows of their own.
+    nothing and are their own component. Vectors of different lengths never link. Equal vectors of a label are
+    compared once, as one vector with a number of copies; rows that share a key, also across labels, count as rows
+    of their own. Rows with a null key link like others; component_id is the smallest key that is known, null where
+    none is, and ``kept`` is whether it is the row's own (null and null count as equal). No rows give no rows.
     """
     small_batches(vectors.sparkSession)
     v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    ok = _valid(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    ok = _valid(F.col("v")) & F.col("label").isNotNull()
     good = v.where(ok).withColumn("h", F.xxhash64("label", "v"))
-    distinct = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("h").alias("h")), "vectors")
-    distinct = distinct.withColumn("group", F.xxhash64("label", F.size("v")))
-
-    sizes = distinct.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    large = stored(sizes.where(F.col("n") > block_rows), "large")
-    placed = _blocks(distinct, large, block_rows, most_centres)
-    found = stored(_pairs_of_blocks(placed, threshold).groupBy("group", "i", "j").applyInPandas(_compare(threshold), "rep long, links long, root long"), "links")
-
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select("rep", "root"), "rep", "root")
+    distinct = good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("h").alias("h"))
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    sizes = distinct.groupBy(F.col("label").alias("_label"), F.size("v").alias("_width")).agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(sizes.withColumn("group", F.monotonically_increasing_id()), "groups")
+    rows = distinct.join(groups, (F.col("label") == F.col("_label")) & (F.size("v") == F.col("_width"))).select("group", "node", "copies", "v", "h")
+
+    sides = _pairs_of_blocks(_blocks(rows, block_rows, most_centres), threshold)
+    found = stored(sides.groupBy("group", "i", "j").applyInPandas(_compare(threshold), "node long, links long, root long"), "links")
+
+    links = found.groupBy(F.col("node").alias("_n")).agg(F.sum("links").alias("links"))
+    roots = stored(components(found.select("node", "root"), "node", "root").withColumnRenamed("node", "_n"), "roots")
+    of = stored(distinct.select("node", "least").join(roots, F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    least = of.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     named = (
-        distinct.select("h", F.col("label").alias("_label"), F.col("v").alias("_v"), "rep", "copies")
-        .join(links.withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r"), "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("h", "_label", "_v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        distinct.select("h", F.col("label").alias("_label"), F.col("v").alias("_v"), "node", "copies")
+        .join(links, F.col("node") == F.col("_n"), "left")
+        .drop("_n")
+        .join(of.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"))
+        .join(least, F.col("root") == F.col("_root"))
+        .select("h", "_label", "_v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
-    linked_rows = good.join(named, "h").where((F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
+    linked_rows = good.join(stored(named, "named"), "h").where((F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
     alone = v.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = linked_rows.union(alone)
-    return both.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _blocks(distinct: DataFrame, large: DataFrame, block_rows: int, most_centres: int) -> DataFrame:
-    """``distinct`` with a ``block``: 0 in small groups; in large ones, the nearest of the group's centres, dealt
-    further by a hash where a centre draws more than ``block_rows`` vectors. Centres are at most ``most_centres`` in
-    all, shared by size, so their table is small whatever the input."""
-    total = large.agg(F.sum("n")).first()[0]
-    if not total:
-        return distinct.select("group", "rep", "copies", "v", F.lit(0).cast("long").alias("block"))
-    mine = distinct.join(large, "group")
-    wanted = F.least(F.ceil(F.col("n") / block_rows), F.greatest(F.lit(1), F.floor(F.col("n") * most_centres / total)))
-    chance = (F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < wanted / F.col("n")
-    centres = mine.where(chance).orderBy("h").limit(2 * most_centres).groupBy("group").agg(F.sort_array(F.collect_list("v")).alias("c"))
-    rows = centres.collect()
-    table = {r["group"]: np.array(r["c"], np.float64) for r in rows}
-    shared = distinct.sparkSession.sparkContext.broadcast({g: c / np.linalg.norm(c, axis=1)[:, None] for g, c in table.items()})
-
-    @F.pandas_udf("int")
-    def nearest(group: pd.Series, v: pd.Series) -> pd.Series:
-        of = shared.value
-        return pd.Series([int(np.argmax(of[g] @ (np.asarray(x) / np.linalg.norm(x)))) if g in of else 0 for g, x in zip(group, v, strict=True)], dtype="int32")
-
-    near = stored(mine.select("group", "rep", "copies", "v", "h", nearest("group", "v").alias("c")), "nearest")
-    drawn = near.groupBy("group", "c").agg(F.count(F.lit(1)).alias("drawn"))
-    parts = F.ceil(F.col("drawn") / block_rows)
-    split = near.join(drawn, ["group", "c"]).withColumn("block", F.col("c") * F.lit(1 << 24) + F.pmod(F.xxhash64("h"), parts))
-    small = distinct.join(large.select("group"), "group", "left_anti").withColumn("block", F.lit(0).cast("long"))
-    return small.select("group", "rep", "copies", "v", "block").union(split.select("group", "rep", "copies", "v", F.col("block").cast("long")))
+    return both.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: How often blocks that are too large are dealt around centres of their own, and the room for them in a block's number.
+LEVELS, ROOM = 3, 1 << 12
+
+
+def _blocks(rows: DataFrame, block_rows: int, most_centres: int) -> DataFrame:
+    """``rows`` (group, node, copies, v, h) with a ``block``: 0 in small groups. A block of more than ``block_rows`` is
+    dealt to the nearest of centres of its own, LEVELS times at most, and then by a hash. Centres are at most twice
+    ``most_centres`` a level, shared by size, so their table is small whatever the input."""
+    most_centres = min(most_centres, ROOM // 2 - 1)
+    rows = rows.withColumn("block", F.lit(0).cast("long"))
+    for level in range(LEVELS + 1):
+        large = stored(rows.groupBy("group", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows), "large")
+        total = large.agg(F.sum("n")).first()[0]
+        if not total:
+            return rows.select("group", "node", "copies", "v", "block")
+        mine = rows.join(large, ["group", "block"], "left")
+        if level == LEVELS:
+            part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / block_rows)) + 1).otherwise(0)
+            return mine.select("group", "node", "copies", "v", (F.col("block") * F.lit(1 << 24) + part).alias("block"))
+        wanted = F.least(F.ceil(F.col("n") / block_rows), F.greatest(F.lit(1), F.floor(F.col("n") * most_centres / total)))
+        chance = (F.pmod(F.xxhash64("h", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)) < wanted / F.col("n")
+        centres = mine.where(chance).orderBy("h", "node").limit(2 * most_centres).groupBy("group", "block").agg(F.sort_array(F.collect_list("v")).alias("c"))
+        table = {(r["group"], r["block"]): np.array(r["c"], np.float64) for r in centres.toLocalIterator()}
+        nearest = _nearest({k: c / np.linalg.norm(c, axis=1)[:, None] for k, c in table.items()}, rows.sparkSession)
+        dealt = F.when(F.col("n").isNotNull(), nearest("group", "block", "v") + 1).otherwise(0)
+        rows = stored(mine.select("group", "node", "copies", "v", "h", (F.col("block") * F.lit(ROOM) + dealt).alias("block")), "dealt")
+
+
+def _nearest(table: dict[tuple[int, int], np.ndarray], spark: SparkSession):
+    """Place of the nearest of a block's centres; 0 where it has none."""
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("long")
+    def nearest(group: pd.Series, block: pd.Series, v: pd.Series) -> pd.Series:
+        out, of = np.zeros(len(v), np.int64), shared.value
+        for key, at in pd.DataFrame({"g": group, "b": block}).groupby(["g", "b"]).indices.items():
+            if (c := of.get(key)) is not None:
+                x = np.vstack(v.to_numpy()[at])
+                out[at] = (x @ c.T).argmax(axis=1)
+        return pd.Series(out)
+
+    return nearest
 
 
 def _pairs_of_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     """Rows for each pair (i <= j) of blocks of a group that may hold links, with the ``side`` they are on.
 
-    A block's centre is its first vector by rep and its radius the greatest distance from it, so the bound is exact.
+    A block's centre is its first vector by node and its radius the greatest distance from it, so the bound is exact.
+    A vector goes to the pair only if it is within the other block's radius of its centre, and the reach.
     """
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
     apart = lambda p, q: F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)))
     placed = stored(placed.withColumn("u", unit(F.col("v"))), "blocks")
-    first = placed.groupBy("group", "block").agg(F.min_by("u", "rep").alias("centre"))
+    first = stored(placed.groupBy("group", "block").agg(F.min_by("u", "node").alias("centre")), "centres")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     away = placed.join(first, ["group", "block"]).withColumn("d", apart(F.col("u"), F.col("centre")))
-    blocks = stored(away.groupBy("group", "block").agg(F.max("d").alias("radius"), F.min_by("centre", "rep").alias("centre")), "radii")
+    radii = away.groupBy("group", "block").agg(F.max("d").alias("radius"))
+    blocks = stored(first.join(radii, ["group", "block"]), "radii")
     x, y = blocks.alias("x"), blocks.alias("y")
     near = (F.col("x.group") == F.col("y.group")) & (F.col("x.block") <= F.col("y.block"))
     near &= apart(F.col("x.centre"), F.col("y.centre")) <= F.col("x.radius") + F.col("y.radius") + reach
-    pair = stored(x.join(y, near).select(F.col("x.group").alias("group"), F.col("x.block").alias("i"), F.col("y.block").alias("j")), "pairs")
-    sides = pair.select("group", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side"))
-    sides = sides.union(pair.where("i < j").select("group", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
-    return placed.join(sides, ["group", "block"]).select("group", "i", "j", "side", "rep", "copies", "v")
+    of = lambda block, other, side: (
+        F.col("x.group").alias("group"), F.col(f"{block}.block").alias("block"), F.col("x.block").alias("i"), F.col("y.block").alias("j"),
+        F.lit(side).alias("side"), F.col(f"{other}.centre").alias("centre"), (F.col(f"{other}.radius") + reach).alias("most"),
+    )
+    pairs_ = stored(x.join(y, near).select(F.struct(*of("x", "y", 0)).alias("a"), F.struct(*of("y", "x", 1)).alias("b")), "pairs")
+    sides = pairs_.select("a.*").union(pairs_.where("a.i < a.j").select("b.*"))
+    reaching = apart(F.col("u"), F.col("centre")) <= F.col("most")
+    return placed.join(sides, ["group", "block"]).where(reaching).select("group", "i", "j", "side", "node", "copies", "v")

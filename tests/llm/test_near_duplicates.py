@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from brindle.llm import simhash
-from brindle.llm.components import components
-from brindle.llm.covertree import CoverTree, grouped, pairs
+from brindle.llm.common import stored
+from brindle.llm.components import Forest, components, with_least
+from brindle.llm.covertree import CoverTree, _spanning, grouped, pairs
 from brindle.llm.queries_simhash import op3_simhash_dedup
 from brindle.llm.simhash import fingerprint, hexed, links, point, representatives
 
@@ -96,6 +97,26 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_busy_node_is_split(spark):
+    """The join with the minima of a star of one node has a skewed side that adaptive execution splits."""
+    held = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        star = stored(spark.range(1, 200_000).selectExpr("if(id % 50 = 0, id, 0) u", "id v"), "star")
+        least = stored(star.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = with_least(star, least)
+        assert joined.where("v = m or u = 0").count() > 100_000
+        joined.write.format("noop").mode("overwrite").save()
+        again = with_least(star, least)
+        again.collect()
+        assert "skew=true" in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def near_copies():
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
@@ -162,7 +183,7 @@ def brute_vectors(rows, threshold=0.98):
 
     def linked(p, q):
         (i, v, label), (j, w, other) = p, q
-        if None in (i, j, label, other) or label != other or not ok(v) or not ok(w) or len(v) != len(w):
+        if None in (label, other) or label != other or not ok(v) or not ok(w) or len(v) != len(w):
             return False
         v, w = np.array(v), np.array(w)
         return v @ w / np.sqrt((v @ v) * (w @ w)) >= threshold
@@ -188,13 +209,34 @@ def test_groups_against_brute_force(spark, block_rows, most_centres):
     rows = [(k, [float(np.float32(x)) for x in v], int(k % 3 == 0)) for k, v in enumerate(clustered(rng, 150, 8))]
     rows += [(200 + k, [1.0] * 8, 0) for k in range(9)] + [(300, [2.0] * 8, 0), (301, [1.0] * 8, None), (302, [1.0] * 4, 0), (303, [1.0] * 4, 0)]
     rows += [(310, None, 0), (311, [], 0), (312, [0.0] * 8, 0), (313, [None] + [1.0] * 7, 0), (314, [float("nan")] + [1.0] * 7, 0), (315, [float("inf")] + [1.0] * 7, 0)]
-    rows += [(None, [1.0] * 8, 0), (5, rows[5][1], rows[5][2])]
+    rows += [(None, [1.0] * 8, 0), (5, rows[5][1], rows[5][2]), (None, rows[7][1], rows[7][2]), (None, [9.0] + [-1.0] * 7, 0), (None, [9.0] + [-1.0] * 7, 0)]
+    rows += [(1, rows[40][1], rows[40][2]), (1, rows[41][1], rows[41][2]), (0, [1.0] * 8, 1), (300, [1.0, -1.0] * 4, 0), (302, [3.0] * 4, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"rep": F.lit("x"), "group": F.lit(1), "n_links": F.lit(2), "v": F.lit(3)})
     out = grouped(df, block_rows=block_rows, most_centres=most_centres).collect()
     assert sorted((repr(r.vec_id), r.n_links, repr(r.component_id)) for r in out) == brute_vectors(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
+def test_one_id_with_two_vectors(spark):
+    """Within a label and across labels: an id joins nothing, only vectors do."""
+    rows = [(5, [1.0, 0.0], 0), (6, [1.0, 0.001], 0), (5, [0.0, 1.0], 1), (3, [0.001, 1.0], 1), (6, [0.0, -1.0], 0), (8, [0.001, -1.0], 0)]
+    out = grouped(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == sorted([(5, 1, 5, True), (6, 1, 5, False), (5, 1, 3, False), (3, 1, 3, True), (6, 1, 6, True), (8, 1, 6, False)])
+    assert sorted((repr(r.vec_id), r.n_links, repr(r.component_id)) for r in out) == brute_vectors(rows)
+
+
+def test_forest_of_many_links_joins_what_they_join():
+    rng = np.random.default_rng(12)
+    names = np.sort(rng.choice(10_000, 300, replace=False))
+    s, t = rng.integers(0, 300, 500), rng.integers(0, 300, 500)
+    s, t = np.concatenate([s, np.repeat(np.arange(40), 40)]), np.concatenate([t, np.tile(np.arange(40), 40)])
+    forest = Forest()
+    _spanning(forest, names, s, t)
+    want = brute_components(zip(names[s].tolist(), names[t].tolist(), strict=True))
+    assert {a: forest.root(a) for a in want} == want
+
+
 def test_no_vectors(spark):
     assert grouped(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
