@@ -1,30 +1,35 @@
 """Training-order materialisation: token-id sequences in one permuted order, as fixed-stride binary shards.
 
-Texts become sequences of ``seq_len`` ids. A sequence's index is its place among its partition's sequences behind
-the room of the partitions before it; a partition's room is a bound from its texts' bytes, so that one pass over
-the texts suffices. A keyed Feistel network permutes the range of all indices; where it leaves the range, it is
-applied again until it comes back (cycle-walking). That place is known without looking at other sequences, its
-order is the training order, and closing the gaps of unused indices (a running sum over shards) gives the global
-slot: 0, 1, 2, ... without holes.
-
-Shards are equal ranges of permuted places. A task sorts its shard and writes one file of records of equal stride,
-so that record k of a shard starts at byte k * stride: readers go through a file in sequence and resume at any slot.
+Texts become sequences of ``seq_len`` ids. A first pass counts the sequences of each partition, so that a sequence's
+index is exact: its place among its partition's sequences behind those of the partitions before it. A keyed Feistel
+network permutes the indices 0 .. n - 1; where it leaves that range, it is applied again until it comes back
+(cycle-walking). Its output is the sequence's global slot, and its inverse tells the index at any slot. The texts
+are tokenised twice rather than stored in between: that would be one more copy of the corpus.
+
+A shard holds ``shard_bytes`` of slots in a row, so slot k is record k mod m of shard k // m. A task sorts a range of
+slots and writes its shards one after the other, in records of equal stride: readers go through a file in sequence and
+resume at any slot. Files carry a name of the attempt that wrote them; the manifest, which Spark commits, says which
+of them count. Files that it does not name are left by lost attempts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import small_batches
+from brindle.scratch import qualified
 
 #: Bytes of a record before its ids: key (8), part of the text (4), ids that count (4).
 HEAD = 16
@@ -87,7 +92,10 @@ class Layout:
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """For paths with a scheme: one without would be in each machine's own file system."""
+    if ":/" not in path:
+        raise ValueError("the path needs its scheme")
+    return fs.FileSystem.from_uri(path)
 
 
 def layout(ranks: dict[bytes, int], seq_len: int) -> Layout:
@@ -96,6 +104,35 @@ def layout(ranks: dict[bytes, int], seq_len: int) -> Layout:
     return Layout(seq_len, pad, "<u2" if pad < 1 << 16 else "<u4")
 
 
+def shard_records(form: Layout, shard_bytes: int) -> int:
+    return max(1, shard_bytes // form.stride)
+
+
+def _packed(heads: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """Records (head, then ids without padding) as one binary array; ``ids`` are those of all records in a row."""
+    head = HEAD // ids.dtype.itemsize
+    ends = np.cumsum(lengths + head)
+    at = (ends - lengths - head)[:, None] + np.arange(head)
+    out, is_id = np.empty(int(ends[-1]), ids.dtype), np.ones(int(ends[-1]), bool)
+    out[at.ravel()] = heads.view(ids.dtype).ravel()
+    is_id[at.ravel()] = False
+    out[is_id] = ids
+    offsets = np.concatenate([[0], ends * ids.dtype.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _padded(records: pa.Array, form: Layout) -> bytes:
+    """The records at their full stride."""
+    offsets = np.frombuffer(records.buffers()[1], np.int32)[records.offset : records.offset + len(records) + 1]
+    size = int(form.kind[-1])
+    data = np.frombuffer(records.buffers()[2], form.kind)[offsets[0] // size : offsets[-1] // size]
+    lengths = np.diff(offsets) // size
+    out = np.full((len(records), form.stride // size), form.pad, form.kind)
+    within = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(np.arange(len(records)), lengths), within] = data
+    return out.tobytes()
+
+
 def materialise(
     docs: DataFrame,
     path: str,
@@ -105,86 +142,115 @@ def materialise(
     text: str = "text",
     seq_len: int = 256,
     shard_bytes: int = 64 << 20,
+    most_tasks: int = 16_384,
     seed: int = 42,
 ) -> DataFrame:
-    """Writes the shards and returns their manifest: shard, file, n_records, first_slot (in shard order).
+    """Writes the shards and returns their manifest: shard, file, n_records, first_slot.
 
-    Null and empty texts have no sequences; the last sequence of a text is padded. Rows with equal keys are texts of
-    their own; a null key is kept as null. The table must read alike each time (files, or stored first): a repeated
-    task then writes the same file again.
+    Null and empty texts have no sequences, and no sequences give no shards; the last sequence of a text is padded.
+    Rows with equal keys are texts of their own; a null key is kept as null. The table must read alike each time (files,
+    or stored first): otherwise the counts no longer hold and the job fails. ``path`` may lack its scheme: it is then
+    in the default file system. ``most_tasks`` bounds the tasks that write, not what they write.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, qualified(docs.sparkSession, path)
     d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    room = F.sum(F.ceil(F.octet_length("t") / seq_len)).cast("long")
-    rooms = {r["p"]: r["n"] or 0 for r in d.groupBy(F.spark_partition_id().alias("p")).agg(room.alias("n")).collect()}
-    total = sum(rooms.values())
+    form, vocabulary = layout(ranks, seq_len), spark.sparkContext.broadcast(ranks)
+
+    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[int]]]]:
+        encoding = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
+        for batch in batches:
+            yield batch.column(0).to_pylist(), [encoding.encode_ordinary(t) if t else [] for t in batch.column(1).to_pylist()]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(-(-len(x) // seq_len) for _, ids in tokenized(batches) for x in ids)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["p", "n"])
+
+    # Two numbers for each partition that the texts are read in, as the scheduler itself holds of each.
+    found = d.mapInArrow(counts, "p int, n long").where("n > 0").collect()
+    total = sum(r["n"] for r in found)
     if not total:
-        return spark.createDataFrame([], "shard int, file string, n_records long, first_slot long")
-    starts, at = {}, 0
-    for p in sorted(rooms):
-        starts[p], at = at, at + rooms[p]
-    form = layout(ranks, seq_len)
-    n_shards = max(1, -(-total * form.stride // shard_bytes))
-    width = -(-total // n_shards)
-    shared = spark.sparkContext.broadcast((ranks, starts, rooms))
+        return spark.createDataFrame([], MANIFEST)
+    each = np.zeros(max(r["p"] for r in found) + 2, np.int64)
+    each[[r["p"] + 1 for r in found]] = [r["n"] for r in found]
+    starts = spark.sparkContext.broadcast(np.cumsum(each))
+    per_shard = shard_records(form, shard_bytes)
+    n_shards = -(-total // per_shard)
+    span = -(-n_shards // most_tasks)
+    width, n_tasks = span * per_shard, -(-n_shards // span)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts, rooms = shared.value
-        encoding = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        feistel, p, made = Feistel(total, seed), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            heads, data = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(encoding.encode_ordinary(t), form.kind) if t else ()
-                for part, lo in enumerate(range(0, len(ids), seq_len)):
-                    piece = ids[lo : lo + seq_len]
-                    heads.append((NULL_KEY if k is None else k, part, len(piece)))
-                    data.append(piece.tobytes())
-            if not heads:
+        p, feistel = TaskContext.get().partitionId(), Feistel(total, seed)
+        at, end = (int(x) for x in starts.value[p : p + 2]) if p + 1 < len(starts.value) else (0, 0)
+        for keys, texts in tokenized(batches):
+            sizes = np.array([len(x) for x in texts])
+            parts = -(-sizes // seq_len)
+            n = int(parts.sum())
+            if not n:
                 continue
-            if made + len(heads) > rooms.get(p, 0):
-                raise RuntimeError("a partition has other rows than when its room was counted: store the table first")
-            place = feistel.place(starts[p] + made + np.arange(len(heads)))
-            made += len(heads)
-            head = np.array(heads, [("k", "<i8"), ("part", "<i4"), ("n", "<i4")]).tobytes()
-            rows = [head[HEAD * i : HEAD * (i + 1)] + x for i, x in enumerate(data)]
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array((place // width).astype(np.int32)), pa.array(rows, pa.binary())], ["place", "shard", "record"])
+            if at + n > end:
+                raise RuntimeError("a partition has other rows than when it was counted: store the table first")
+            which = np.repeat(np.arange(len(keys)), parts)
+            part = np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts)
+            heads = np.zeros(n, [("k", "<i8"), ("part", "<i4"), ("n", "<i4")])
+            heads["k"] = np.array([NULL_KEY if k is None else k for k in keys], np.int64)[which]
+            heads["part"], heads["n"] = part, np.minimum(sizes[which] - part * seq_len, seq_len)
+            ids = np.fromiter(chain.from_iterable(texts), form.kind, int(sizes.sum()))
+            slot = feistel.place(np.arange(at, at + n))
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // width).astype(np.int32)), _packed(heads, heads["n"].astype(np.int64), ids)], ["slot", "task", "record"])
+        if at != end:
+            raise RuntimeError("a partition has other rows than when it was counted: store the table first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = _place(path)
         where.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        shard, n = task.partitionId(), 0
-        name = f"shard-{shard:06d}.bin"
-        hidden = f"{root}/.{name}.{task.taskAttemptId()}"
-        pad = np.full(seq_len, form.pad, form.kind).tobytes()
-        with where.open_output_stream(hidden) as out:
+        first = TaskContext.get().partitionId() * width
+        due, out, made = first, None, []
+        try:
             for batch in batches:
-                if (batch.column(0).to_numpy() != shard).any():
-                    raise RuntimeError("a task has records of another shard")
-                records = batch.column(1).to_pylist()
-                out.write(b"".join(r + pad[len(r) - HEAD :] for r in records))
-                n += len(records)
-        where.move(hidden, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["shard", "file", "n_records"])
-
-    permuted = d.mapInArrow(sequences, "place long, shard int, record binary")
-    sorted_ = permuted.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("place").select("shard", "record")
-    manifest = sorted_.mapInArrow(write, "shard int, file string, n_records long")
+                slots = batch.column(0).to_numpy()
+                if (slots != np.arange(due, due + len(slots))).any():
+                    raise RuntimeError("a task has other slots than its own")
+                while len(batch):
+                    if due % per_shard == 0:
+                        if out:
+                            out.close()
+                        made.append((due // per_shard, f"shard-{due // per_shard:08d}-{uuid.uuid4().hex}.bin", min(per_shard, total - due)))
+                        out = where.open_output_stream(f"{root}/{made[-1][1]}")
+                    n = min(len(batch), per_shard - due % per_shard)
+                    out.write(_padded(batch.column(1).slice(0, n), form))
+                    batch, due = batch.slice(n), due + n
+            if out:
+                out.close()
+            if due != min(first + width, total):
+                raise RuntimeError("a task lacks slots")
+        except BaseException:
+            for _, name, _ in made:
+                with suppress(OSError):
+                    where.delete_file(f"{root}/{name}")
+            raise
+        rows = [*zip(*made, strict=True)] or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())], ["shard", "file", "n_records"])
+
+    permuted = d.mapInArrow(sequences, "slot long, task int, record binary")
+    dealt = permuted.repartitionById(n_tasks, F.col("task")).sortWithinPartitions("slot").select("slot", "record")
+    manifest = dealt.mapInArrow(write, "shard long, file string, n_records long").withColumn("first_slot", F.col("shard") * per_shard)
     manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
     return read_manifest(spark, path)
 
 
+MANIFEST = "shard long, file string, n_records long, first_slot long"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    m = spark.read.schema("shard int, file string, n_records long").parquet(f"{path}/_manifest")
-    return m.withColumn("first_slot", F.coalesce(F.sum("n_records").over(before), F.lit(0)).cast("long"))
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
 def read(manifest: DataFrame, path: str, form: Layout, start: int = 0) -> DataFrame:
     """Records from slot ``start`` on: slot, shard, doc_id, part, n_tokens, ids (without padding). Files before it are
     not opened; each task goes through its files in sequence."""
+    path = qualified(manifest.sparkSession, path)
     left = manifest.where(F.col("first_slot") + F.col("n_records") > start)
     record = np.dtype([("k", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", form.kind, (form.seq_len,))])
 
@@ -203,7 +269,7 @@ def read(manifest: DataFrame, path: str, form: Layout, start: int = 0) -> DataFr
                         n = len(r)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(np.arange(slot, slot + n)), pa.array(np.full(n, m["shard"], np.int32)), pa.array(r["k"], mask=r["k"] == NULL_KEY),
+                                pa.array(np.arange(slot, slot + n)), pa.array(np.full(n, m["shard"])), pa.array(r["k"], mask=r["k"] == NULL_KEY),
                                 pa.array(r["part"]), pa.array(r["n"]), ids,
                             ],
                             ["slot", "shard", "doc_id", "part", "n_tokens", "ids"],
@@ -211,4 +277,4 @@ def read(manifest: DataFrame, path: str, form: Layout, start: int = 0) -> DataFr
                         slot += n
 
     spread = left.repartition(max(1, left.sparkSession.sparkContext.defaultParallelism * 4), "shard")
-    return spread.mapInArrow(records, "slot long, shard int, doc_id long, part int, n_tokens int, ids array<int>")
+    return spread.mapInArrow(records, "slot long, shard long, doc_id long, part int, n_tokens int, ids array<int>")

@@ -14,10 +14,10 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from brindle.llm import bpe, warc
+from brindle.llm import bpe, training_order, warc
 from brindle.llm.common import shared_path
 from brindle.llm.queries_bpe import digests
-from brindle.llm.training_order import Feistel, layout, materialise, read, read_manifest
+from brindle.llm.training_order import Feistel, layout, materialise, read, read_manifest, shard_records
 
 PATTERN = public_tokenizers.PATTERN
 SF = "/root/testdata/sf0.01"
@@ -102,28 +102,94 @@ def test_feistel_permutes(n):
         assert abs(np.corrcoef(np.arange(n), places)[0, 1]) < 0.15
 
 
-def test_shards_hold_every_sequence_once(texts, ranks, library, spark, tmp_path):
-    rows, df = texts
+def brute_slots(n, key):
+    """The permutation in plain integers: rounds on two halves of an even number of bits, again while outside."""
+    f = Feistel(n, key)
+    bits, keys, most = f.half, [int(k) for k in f.keys], (1 << 64) - 1
+
+    def mixed(x, k):
+        x = (x + k) & most
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & most
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & most
+        return (x ^ x >> 31) & ((1 << bits) - 1)
+
+    def once(x):
+        left, right = x >> bits, x & ((1 << bits) - 1)
+        for k in keys:
+            left, right = right, left ^ mixed(right, k)
+        return left << bits | right
+
+    out = []
+    for x in range(n):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        out.append(x)
+    return out
+
+
+def brute_order(df, library, seq_len, key=42):
+    """Slot to (key, part, ids): sequences numbered in the order the table is read in, then permuted."""
+    made = [(r.doc_id, p // seq_len, tuple(ids[p : p + seq_len])) for r in df.select("doc_id", "text").collect() for ids in [library.encode_ordinary(r.text or "")] for p in range(0, len(ids), seq_len)]
+    return dict(zip(brute_slots(len(made), key) if made else [], made, strict=True))
+
+
+@pytest.mark.parametrize("most_tasks", [16_384, 3])
+def test_shards_hold_every_sequence_in_its_slot(texts, ranks, library, spark, tmp_path, most_tasks):
+    _, df = texts
     path, form = f"file://{tmp_path}/shards", layout(ranks, 16)
-    manifest = materialise(df, path, ranks, PATTERN, seq_len=16, shard_bytes=40_000)
+    manifest = materialise(df, path, ranks, PATTERN, seq_len=16, shard_bytes=20_000, most_tasks=most_tasks)
+    want, m = brute_order(df, library, 16), shard_records(form, 20_000)
     out = read(manifest, path, form).collect()
-    want = [(k, p // 16, tuple(ids[p : p + 16])) for k, t in rows for ids in [library.encode_ordinary(t or "")] for p in range(0, len(ids), 16)]
-    assert sorted(((r.doc_id, r.part, tuple(r.ids)) for r in out), key=repr) == sorted(want, key=repr)
-    assert sorted(r.slot for r in out) == list(range(len(want))) and len({r.shard for r in out}) > 3
-    for r in read_manifest(spark, path).collect():
-        assert (tmp_path / "shards" / r.file).stat().st_size == r.n_records * form.stride
-    by_slot = {r.slot: (r.doc_id, r.part) for r in out}
+    assert len(out) == len(want) and {r.slot: (r.doc_id, r.part, tuple(r.ids)) for r in out} == want
+    assert all(r.shard == r.slot // m and r.n_tokens == len(r.ids) for r in out) and len({r.shard for r in out}) > 5
+    shards = sorted(read_manifest(spark, path).collect())
+    assert [r.shard for r in shards] == list(range(-(-len(want) // m))) and {r.n_records for r in shards[:-1]} == {m}
+    names = {p.name for p in (tmp_path / "shards").iterdir() if p.suffix == ".bin"}
+    assert names == {r.file for r in shards}
+    for r in shards:
+        assert r.first_slot == r.shard * m and (tmp_path / "shards" / r.file).stat().st_size == r.n_records * form.stride
     later = read(manifest, path, form, start=len(want) - 777).collect()
-    assert {r.slot: (r.doc_id, r.part) for r in later} == {s: x for s, x in by_slot.items() if s >= len(want) - 777}
-    again = materialise(df, f"{path}2", ranks, PATTERN, seq_len=16, shard_bytes=40_000)
-    assert {r.slot: (r.doc_id, r.part) for r in read(again, f"{path}2", form).collect()} == by_slot
+    assert {r.slot: (r.doc_id, r.part, tuple(r.ids)) for r in later} == {s: x for s, x in want.items() if s >= len(want) - 777}
+    raw = (tmp_path / "shards" / shards[1].file).read_bytes()[3 * form.stride : 4 * form.stride]
+    k, part, n = struct.unpack("<qii", raw[:16])
+    ids = np.frombuffer(raw[16:], form.kind).tolist()
+    assert want[m + 3][1:] == (part, tuple(ids[:n])) and (want[m + 3][0] in (k, None)) and set(ids[n:]) <= {form.pad}
+
+
+def test_slots_lead_back_to_sequences():
+    for n in (1, 7, 1000, 4097):
+        f = Feistel(n, 42)
+        assert f.place(np.arange(n)).tolist() == brute_slots(n, 42) and f.index(np.array(brute_slots(n, 42))).tolist() == list(range(n))
+
+
+def test_path_without_a_scheme_is_in_the_default_file_system(texts, ranks, library, spark, tmp_path):
+    _, df = texts
+    path, form = str(tmp_path / "bare"), layout(ranks, 64)
+    out = read(materialise(df, path, ranks, PATTERN, seq_len=64), path, form).collect()
+    assert {r.slot: (r.doc_id, r.part, tuple(r.ids)) for r in out} == brute_order(df, library, 64)
+    with pytest.raises(ValueError, match="scheme"):
+        training_order._place(path)
+
+
+def test_a_table_that_reads_otherwise_fails(ranks, spark, tmp_path):
+    def grown(batches):
+        n = np.random.default_rng().integers(1, 5000)
+        for pdf in batches:
+            yield pdf.assign(text="word " * int(n))
+
+    changing = spark.range(50).withColumnRenamed("id", "doc_id").mapInPandas(grown, "doc_id long, text string")
+    with pytest.raises(Exception, match="other rows"):
+        materialise(changing, f"file://{tmp_path}/x", ranks, PATTERN, seq_len=4)
+    assert not list((tmp_path / "x").glob("*.bin"))
 
 
 def test_training_order_query(spark, library):
-    out = entry.queries()["op5_training_order"](spark, "/root/testdata/sf0.001").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
-    want = {(d.doc_id, p // 256): zlib.crc32(" ".join(map(str, ids[p : p + 256])).encode()) for d in docs for ids in [library.encode_ordinary(d.text)] for p in range(0, len(ids), 256)}
-    assert {(r.doc_id, r.part): r.ids_crc32 for r in out} == want and sorted(r.slot for r in out) == list(range(len(want)))
+    sf = "/root/testdata/sf0.001"
+    out = entry.queries()["op5_training_order"](spark, sf).collect()
+    want = brute_order(spark.read.parquet(f"{sf}/documents.parquet"), library, 256)
+    assert len(out) == len(want)
+    assert {r.slot: (r.doc_id, r.part, r.n_tokens, r.ids_crc32) for r in out} == {s: (k, p, len(ids), zlib.crc32(" ".join(map(str, ids)).encode())) for s, (k, p, ids) in want.items()}
 
 
 # WARC
