@@ -5,17 +5,20 @@ Manhattan distance of two points never exceeds the Hamming distance of the finge
 count of 0, 1 or 2 is 00, 01 or 11, so the whole point is one long and the Manhattan distance is the bit count of
 an exclusive or.
 
-Grid range-join: the 32 axes are dealt into six subspaces. Where the Manhattan distance is at most 3, at least
-three subspaces hold equal coordinates, so the two points share a unit cell of one of the 20 triples of
-subspaces. Points meet by an equi-join on those cells, once for each pair (in the first triple they share), and
-are verified exactly. A cell with more than ``most_in_cell`` points is compared in blocks of pairs of
-chunks, and each block returns a spanning forest of its links rather than the links.
+Grid range-join: the 32 axes are dealt into k subspaces. Where the Manhattan distance is at most 3, at least k - 3
+subspaces hold equal coordinates, so the two points share a unit cell of k - 3 subspaces. Points meet by an equi-join
+on those cells, once for each pair (in one cell of those they share), and are verified exactly. More subspaces make
+more cells for each point and finer ones: k grows with the number of fingerprints, so that random fingerprints
+make about as many candidate pairs as cells at any size (``subspaces``). A cell with more than ``most_in_cell``
+points is compared in blocks of pairs of chunks, and each block returns a spanning forest of its links rather than
+the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,9 +31,7 @@ from brindle.llm.components import Forest, components
 
 LOW = 0x5555555555555555
 DISTANCE = 3
-#: Axes of each of the six subspaces.
-SUBSPACES = [range(0, 6), range(6, 12), range(12, 17), range(17, 22), range(22, 27), range(27, 32)]
-TRIPLES = list(combinations(range(6), 3))
+AXES = 32
 MOST_IN_CELL = 1000
 CHUNK = 1 << 16
 
@@ -39,7 +40,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-MASKS = [sum(3 << (2 * axis) for axis in s) for s in SUBSPACES]
+def candidates(n: int, k: int) -> float:
+    """Pairs of ``n`` random fingerprints that are expected to meet in cells of ``k`` subspaces. Two random segments have
+    equal bit counts with probability 3 / 8."""
+    return n * n / 2 * sum(0.375 ** sum(map(len, cell)) for cell in combinations(_axes(k), k - DISTANCE))
+
+
+def subspaces(n: int) -> int:
+    """The least number of subspaces, from 6 to 12, with no more candidates than cells of ``n`` fingerprints."""
+    return next((k for k in range(6, 12) if candidates(n, k) <= n * comb(k, DISTANCE)), 12)
+
+
+def _axes(k: int) -> list[range]:
+    return [range(AXES * i // k, AXES * (i + 1) // k) for i in range(k)]
+
+
+def _masks(k: int) -> list[int]:
+    """The bits of a point that each subspace has."""
+    return [sum(3 << (2 * axis) for axis in axes) for axes in _axes(k)]
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -81,15 +99,13 @@ def point(fp: Column) -> Column:
     return fp.bitwiseOR(other).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(other).bitwiseAND(low), 1))
 
 
-def _first_triple(x: Column, y: Column) -> Column:
-    """Place in TRIPLES of the first three subspaces in which two points agree; null if there are not three."""
+def _meeting(x: Column, y: Column, k: int) -> Column:
+    """The one set of k - 3 subspaces, as bits, in which two points within reach are compared: the last that agree."""
     differ = x.bitwiseXOR(y)
-    agree = sum((F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, 1 << k).otherwise(0) for k, m in enumerate(MASKS)), F.lit(0))
-    first = {}
-    for pattern in range(64):
-        on = [k for k in range(6) if pattern >> k & 1][:3]
-        first[pattern] = TRIPLES.index(tuple(on)) if len(on) == 3 else None
-    return F.element_at(F.array(*(F.lit(first[p]).cast("int") for p in range(64))), agree + 1)
+    agree = sum((F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(_masks(k))), F.lit(0))
+    for _ in range(DISTANCE):
+        agree = F.when(F.bit_count(agree) > k - DISTANCE, agree.bitwiseAND(agree - 1)).otherwise(agree)
+    return agree
 
 
 def _forests(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,17 +121,21 @@ def _forests(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(a, forest.root(a)) for a in list(forest) if forest.root(a) != a], columns=["a", "b"], dtype="int64")
 
 
-def links(fps: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
+def links(fps: DataFrame, most_in_cell: int = MOST_IN_CELL, k: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct longs ``fp`` that connect exactly what distances of 3 or fewer connect.
 
     Every pair in a cell of at most ``most_in_cell`` points is a row of its own if it is close enough; larger
-    cells give a spanning forest for each block.
+    cells give a spanning forest for each block. ``k`` subspaces (by default those for the number of rows) change
+    the work and not the links. No rows give no links.
     """
-    p = point(F.col("fp"))
-    cells = F.array(*(F.struct(F.lit(k).alias("t"), p.bitwiseAND(F.lit(_signed(sum(MASKS[s] for s in t)))).alias("c")) for k, t in enumerate(TRIPLES)))
-    placed = fps.select("fp", F.explode(cells).alias("x")).select("fp", F.col("x.t").cast("byte").alias("t"), F.xxhash64("x.t", "x.c").alias("cell"))
+    k = k or subspaces(fps.count())
+    p, masks = point(F.col("fp")), _masks(k)
+    sets = list(combinations(range(k), k - DISTANCE))
+    cells = F.array(*(F.struct(F.lit(sum(1 << s for s in t)).alias("t"), p.bitwiseAND(F.lit(_signed(sum(masks[s] for s in t)))).alias("c")) for t in sets))
+    placed = fps.select("fp", F.explode(cells).alias("x")).select("fp", F.col("x.t").cast("short").alias("t"), F.xxhash64("x.t", "x.c").alias("cell"))
     busy = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
-    shared = stored(placed.join(busy, "cell"), "in-cells")
+    # One plan at every size: few busy cells would be broadcast, many not.
+    shared = stored(placed.join(busy.hint("merge"), "cell"), "in-cells")
     few = shared.where(F.col("n") <= most_in_cell).select("cell", "t", "fp")
     x, y = few.alias("x"), few.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
@@ -125,7 +145,7 @@ def links(fps: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
         & (F.col("x.fp") < F.col("y.fp"))
         & (F.bit_count(px.bitwiseXOR(py)) <= DISTANCE)
         & (F.bit_count(differ) <= DISTANCE)
-        & (_first_triple(px, py) == F.col("x.t"))
+        & (_meeting(px, py, k) == F.col("x.t"))
     )
     pairs = x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
@@ -162,7 +182,8 @@ def _rooted(fps: DataFrame, most_in_cell: int) -> DataFrame:
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     """The rows of ``docs`` that stay, in its columns: of each component, one with the smallest key.
 
-    Null keys come last. Of rows that tie, also repeated ones, one stays.
+    Null keys come last. Of rows that tie, also repeated ones and those with null keys, one stays. Texts without a word
+    (null, empty) are one group. No rows give no rows.
     """
     rows = stored(fingerprinted(docs, text, "_fp").withColumn("_row", F.monotonically_increasing_id()), "to-dedup")
     order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))

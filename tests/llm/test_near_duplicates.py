@@ -2,6 +2,8 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -74,8 +76,31 @@ def test_point_bounds_the_distance(spark):
         assert r.d == sum(abs(a - b) for a, b in zip(counts(x), counts(y), strict=True)) <= (x ^ y).bit_count()
 
 
-@pytest.mark.parametrize("most", [1000, 4])
-def test_links_connect_what_distances_connect(spark, most):
+def test_subspaces_follow_the_number_of_fingerprints():
+    sizes = [10**e for e in range(3, 12)]
+    chosen = [simhash.subspaces(n) for n in sizes]
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] > 9
+    for n, k in zip(sizes, chosen, strict=True):
+        assert sorted(a for axes in simhash._axes(k) for a in axes) == list(range(32))
+        assert k == 12 or simhash.candidates(n, k) <= n * comb(k, 3)
+
+
+def test_candidates_are_as_many_as_expected():
+    """Pairs of random fingerprints that share a cell, counted one by one."""
+    rng, n, k = np.random.default_rng(4), 100_000, 6
+    low = np.uint64(simhash.LOW)
+    fps = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    one = np.uint64(1)
+    points = ((fps | fps >> one) & low) | ((fps & fps >> one & low) << one)
+    pairs_ = 0
+    for cell in combinations(simhash._masks(k), k - 3):
+        _, c = np.unique(points & np.uint64(sum(cell)), return_counts=True)
+        pairs_ += int((c * (c - 1) // 2).sum())
+    assert 0.8 < pairs_ / simhash.candidates(n, k) < 1.25
+
+
+@pytest.mark.parametrize("most, k", [(1000, None), (4, None), (1000, 7), (4, 9), (1000, 12)])
+def test_links_connect_what_distances_connect(spark, most, k):
     """Random fingerprints and dense balls around some; small cells give the links themselves."""
     rng = random.Random(6)
     fps = {rng.getrandbits(64) for _ in range(200)} | {0, 1, (1 << 64) - 1}
@@ -83,7 +108,7 @@ def test_links_connect_what_distances_connect(spark, most):
         fps |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(25)}
     near = {tuple(sorted((simhash._signed(a), simhash._signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    found = [tuple(r) for r in links(df, most).collect()]
+    found = [tuple(r) for r in links(df, most, k).collect()]
     assert brute_components(found) == brute_components(near)
     if most == 1000:
         assert len(found) == len(near) and {tuple(sorted(p)) for p in found} == near
