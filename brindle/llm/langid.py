@@ -5,8 +5,10 @@ character n-grams of its padded form, the longest first; a shorter length is tri
 none of the longer. A document's language is that of the highest sum over its words.
 
 The model is fitted on a sample of labelled rows (the ``docs_per_lang`` distinct texts of each language with the lowest
-hashes, or all where it has no more, each text once however many copies it has) and keeps ``words_per_lang`` words and ``grams_per_lang`` n-grams of each length: its size does not
-depend on the corpus, so it is broadcast.
+hashes, or all where it has no more, each text once however many copies it has) and keeps ``words_per_lang`` words and
+``grams_per_lang`` n-grams of each length, or fewer where there are so many languages that the model would have over
+``most_entries`` entries. An entry is a gram in a language whose list it is on; a gram counts as unseen in other
+languages. So the model's size is bounded whatever the corpus and the number of languages, and it is broadcast.
 """
 
 from __future__ import annotations
@@ -21,21 +23,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import give_back, small_batches
+from brindle.llm.common import give_back, small_batches, stored
 
 UNKNOWN = "und"
 LENGTHS = (4, 3, 2, 1)
-#: More languages than this are refused: the model would no longer be small.
-MOST_LANGUAGES = 1000
-#: Scores of so many distinct unseen words are remembered in a Python worker before it starts afresh.
+#: Unseen words whose n-grams a Python worker remembers before it starts afresh.
 REMEMBERED = 200_000
+#: Characters of a text that are cut into words at a time.
+PIECE = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters that end where a run of letters ends."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text) and (run := _LETTERS.match(text, end)):
+            end = run.end()
+        yield text[at:end]
+        at = end
+
+
 def tokens(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
+def counted(text: str | None) -> Counter:
+    """The text's words and how often each occurs, in order of first appearance."""
+    out: Counter = Counter()
+    for piece in pieces(text or ""):
+        out.update(tokens(piece))
+    return out
+
+
 def _grams(word: str, n: int) -> list[str]:
     p = f"^{word}$"
     return [p[i : i + n] for i in range(len(p) - n + 1)]
@@ -43,85 +64,114 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language, of words at length 0 and of n-grams at length n: rows by gram, and the rows."""
+    """Log frequencies by language as sparse rows.
+
+    ``at`` has for length 0 (words) and for each length of n-grams the row of every known one. Row r's entries are
+    ``ends[r] .. ends[r + 1]`` of ``lang`` and ``gain``: the log frequency above that of an unseen one, which is
+    ``base`` by length and language.
+    """
 
     langs: list[str]
-    logs: dict[int, tuple[dict[str, int], np.ndarray]]
+    at: dict[int, dict[str, int]]
+    ends: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
 
     @classmethod
     def from_counts(cls, rows: list[tuple[str, int, str, int]], smooth: float = 0.5) -> LanguageModel:
+        """``rows``: language, length, gram, count; each (language, length, gram) once."""
         langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(langs)}
-        counts: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
+        of = {x: i for i, x in enumerate(langs)}
+        at: dict[int, dict[str, int]] = defaultdict(dict)
+        rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+        where, total, size = [], np.zeros((LENGTHS[0] + 1, len(langs))), 0
         for lang, n, gram, c in rows:
-            counts[n].setdefault(gram, np.zeros(len(langs)))[at[lang]] = c
-        logs = {}
-        for n, table in counts.items():
-            m = np.vstack(list(table.values())) + smooth
-            logs[n] = ({g: i for i, g in enumerate(table)}, np.log(m / m.sum(axis=0)).astype(np.float32))
-        return cls(langs, logs)
+            if gram not in at[n]:
+                at[n][gram] = size
+                size += 1
+            where.append(size - 1)
+            total[n, of[lang]] += c
+        total += smooth * np.array([[len(at.get(n, ()))] for n in range(LENGTHS[0] + 1)])
+        with np.errstate(divide="ignore"):
+            base = np.where(total > 0, np.log(smooth / total), 0.0)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.array(where, np.int64), minlength=size))]).astype(np.int64)
+        gain = np.log1p(np.array([r[3] for r in rows], np.float64) / smooth).astype(np.float32)
+        return cls(langs, dict(at), ends, np.array([of[r[0]] for r in rows], np.int32), gain, base)
 
     def grams(self, word: str) -> tuple[int, list[int]]:
         """The longest length at which n-grams of the word are known, and their rows there; 0 and none otherwise."""
         p = f"^{word}$"
         for n in LENGTHS:
-            if n in self.logs:
-                get = self.logs[n][0].get
+            if n in self.at:
+                get = self.at[n].get
                 if found := [x for i in range(len(p) - n + 1) if (x := get(p[i : i + n])) is not None]:
                     return n, found
         return 0, []
 
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word: the mean over its known n-grams, or zeros."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        by_length: dict[int, tuple[list[int], list[int], list[int]]] = {n: ([], [], []) for n in LENGTHS}
-        for k, w in enumerate(words):
-            n, found = self.grams(w)
-            if n:
-                which, counts, rows = by_length[n]
-                which.append(k)
-                counts.append(len(found))
-                rows += found
-        for n, (which, counts, rows) in by_length.items():
-            if which:
-                c = np.array(counts)
-                out[which] = np.add.reduceat(self.logs[n][1][rows], np.cumsum(c) - c, axis=0) / c[:, None]
-        return out
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[k] .. starts[k] + sizes[k]`` of all k in a row."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Scorer(dict):
-    """Word to row of a growing score matrix; a text's unseen words are scored together when first met."""
+    """Scores texts. A word's value is its row where the model knows it, and -1 - k for the k-th unseen word met."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model = model
-        self.known, rows = model.logs.get(0, ({}, np.zeros((0, len(model.langs)), np.float32)))
-        self.start = len(self.known)
-        self.rows = np.concatenate([rows, np.zeros((1024, len(model.langs)), np.float32)])
+        self.model, self.known = model, model.at.get(0, {})
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.update(self.known)
+        self.length, self.rows, self.ends = [], [], [0]
+        self.arrays = None
 
     def learn(self, words: list[str]) -> None:
-        start, end = len(self), len(self) + len(words)
-        if end > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(end, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
-        self.rows[start:end] = self.model.unseen(words)
-        self.update(zip(words, range(start, end), strict=True))
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """Language and its posterior; ``und`` and 0 for null texts and texts without a letter."""
-        found = tokens(text) if text else []
+        for w in words:
+            n, found = self.model.grams(w)
+            self[w] = -1 - len(self.length)
+            self.length.append(n)
+            self.rows += found
+            self.ends.append(len(self.rows))
+        self.arrays = None
+
+    def _sum(self, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """By language: the log frequencies of known words, and the mean ones of unseen words' n-grams."""
+        if self.arrays is None:
+            self.arrays = np.array(self.length, np.int64), np.array(self.rows, np.int64), np.array(self.ends, np.int64)
+        length, rows, ends = self.arrays
+        m, seen = self.model, ids >= 0
+        new, often = -1 - ids[~seen], times[~seen]
+        sizes = ends[new + 1] - ends[new]
+        row = np.concatenate([ids[seen], rows[_spread(ends[new], sizes)]])
+        weight = np.concatenate([times[seen], np.repeat(often / np.maximum(1, sizes), sizes)])
+        sizes_ = m.ends[row + 1] - m.ends[row]
+        entry = _spread(m.ends[row], sizes_)
+        total = np.bincount(m.lang[entry], weights=np.repeat(weight, sizes_) * m.gain[entry], minlength=len(m.langs))
+        by_length = np.bincount(length[new], weights=often * (sizes > 0), minlength=len(m.base))
+        by_length[0] = times[seen].sum()
+        return total + by_length @ m.base
+
+    def score(self, text: str | None) -> tuple[str, float, int, int]:
+        """Language and its posterior (``und`` and 0 for null texts and texts without a letter), words, and known words."""
+        found = counted(text)
+        n = found.total()
         if not self.model.langs or not any(c.isalpha() for w in found for c in w):
-            return UNKNOWN, 0.0
-        if len(self) > self.start + REMEMBERED:
-            self.clear()
-            self.update(self.known)
+            return UNKNOWN, 0.0, n, 0
+        if len(self.length) > REMEMBERED:
+            self.forget()
         ids = list(map(self.get, found))
         if None in ids:
-            self.learn(list({w for w, i in zip(found, ids, strict=True) if i is None}))
+            self.learn([w for w, i in zip(found, ids, strict=True) if i is None])
             ids = list(map(self.__getitem__, found))
-        total = self.rows[ids].sum(axis=0, dtype=np.float64)
+        at, times = np.array(ids, np.int64), np.fromiter(found.values(), np.float64, len(found))
+        total = self._sum(at, times)
         best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        score = float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        return self.model.langs[best], score, n, int(times[at >= 0].sum())
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +179,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[str, Counter] = defaultdict(Counter)
     for pdf in batches:
         for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-            seen[lang].update(tokens(text))
+            for piece in pieces(text):
+                seen[lang].update(tokens(piece))
     for lang, counter in seen.items():
         out = {0: counter} | {n: Counter() for n in LENGTHS}
         for w in counter:
@@ -142,23 +193,22 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
-def _below(d: DataFrame, bounds: dict[str, int]) -> DataFrame:
-    return d.where(F.col("h") <= F.create_map(*(F.lit(x) for b in bounds.items() for x in b))[F.col("lang")])
+def _below(d: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows with a hash up to their language's ``bound``, where it has one."""
+    return d.join(bounds.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left").where("bound IS NULL OR h <= bound").select(*d.columns)
 
 
-def _lowest(d: DataFrame, sizes: dict[str, int], k: int) -> DataFrame:
+def _lowest(d: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """Rows of ``d`` with the ``k`` lowest hashes ``h`` of their language, which has ``sizes`` distinct ones.
 
     Hashes are even over the longs, so those under a bound that twice ``k`` and a hundred are expected under hold the
     ``k`` lowest; only they are gathered, and only languages of more than ``k``.
     """
-    top = (1 << 63) - 1
-    wide = {x: min(top, int((2 * k + 100) / n * (1 << 64)) - (1 << 63)) for x, n in sizes.items() if n > k}
-    bounds = dict.fromkeys(sizes, top)
-    if wide:
-        few = _below(d.select("lang", "h"), wide).distinct().groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h"))
-        bounds |= {r["lang"]: r["h"] for r in few.select("lang", F.get("h", F.lit(k - 1)).alias("h")).where("h IS NOT NULL").toLocalIterator()}
-    return _below(d, bounds)
+    most = F.least(F.lit((2 * k + 100) * 2.0**64) / F.col("n"), F.lit(2.0**64 - 2**12)) - F.lit(2.0**63)
+    wide = sizes.where(F.col("n") > k).select("lang", most.cast("long").alias("bound"))
+    few = _below(d.join(wide.select(F.col("lang").alias("_lang")), F.col("lang") == F.col("_lang"), "left_semi").select("lang", "h"), wide).distinct()
+    lowest = few.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    return _below(d, stored(lowest.select("lang", F.get("hs", F.lit(k - 1)).alias("bound")), "bounds"))
 
 
 def fit(
@@ -168,38 +218,52 @@ def fit(
     docs_per_lang: int = 2000,
     words_per_lang: int = 20_000,
     grams_per_lang: int = 8_000,
+    most_entries: int = 1_000_000,
 ) -> LanguageModel:
-    """A model of the non-null languages of ``docs``. No labelled rows: a model that answers ``und`` only."""
+    """A model of the non-null languages of ``docs``. No labelled rows: a model that answers ``und`` only.
+
+    Where the languages' lists would have more than ``most_entries`` together, each is cut in proportion: from 20
+    languages on, that is, with these numbers.
+    """
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    d = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     d = d.withColumn("h", F.xxhash64("text"))
-    sizes = d.select("lang", "h").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return LanguageModel([], {})
-    sample = _lowest(d, {r["lang"]: r["count"] for r in sizes}, docs_per_lang).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sizes = stored(d.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n_langs = sizes.count()
+    if not n_langs:
+        return LanguageModel.from_counts([])
+    share = min(1.0, most_entries / (n_langs * (words_per_lang + len(LENGTHS) * grams_per_lang)))
+    n_words, n_grams = max(1, int(words_per_lang * share)), max(1, int(grams_per_lang * share))
+    sample = _lowest(d, sizes, docs_per_lang).groupBy("lang", "h").agg(F.min("text").alias("text"))
     counts = sample.select("text", "lang").mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    top = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
+    top = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, n_words).otherwise(n_grams))
     return LanguageModel.from_counts([tuple(r) for r in top.select("lang", "n", "gram", "c").toLocalIterator()])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language and its posterior (0 to 1); columns of these names are replaced."""
+def identify(
+    docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "lang_score", words: str | None = None, known: str | None = None
+) -> DataFrame:
+    """``docs`` with the predicted language and its posterior (0 to 1); columns of these names are replaced.
+
+    ``words`` and ``known`` name further columns: how many words the text has, and how many of them the model knows.
+    Null texts and those without a letter are ``und`` with score 0. Repeated rows get equal answers; no rows give none.
+    """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    m = model
+    shared = docs.sparkSession.sparkContext.broadcast((m.langs, m.at, m.ends, m.lang, m.gain, m.base))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, words long, known long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(LanguageModel(*shared.value))
         for texts in batches:
-            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang", "score", "words", "known"])
         del scorer
         give_back()
 
     out = docs.withColumn("_language", predict(F.col(text)))
-    return out.withColumns({pred: F.col("_language.lang"), score: F.col("_language.score")}).drop("_language")
+    names = {"lang": pred, "score": score, "words": words, "known": known}
+    return out.withColumns({to: F.col(f"_language.{x}") for x, to in names.items() if to}).drop("_language")
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

@@ -1,14 +1,18 @@
 """Language identification and the quality classifier: definitions, edge cases and held-out accuracy."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brindle.llm import langid, quality
-from brindle.llm.langid import LanguageModel, Scorer, held_out, identify
+from brindle.llm.langid import LanguageModel, Scorer, counted, held_out, identify, tokens
 from brindle.llm.queries_langid import op6_language_id
 from brindle.llm.queries_quality import op1_quality_classifier
 
@@ -16,6 +20,40 @@ SF = "/root/testdata/sf0.01"
 EDGES = [None, "", " \n", "12 34 !?", "½ ²", "a", "x" * 100_000, "the " * 20_000, "\U0001F600", "中文 字", "été"]
 
 
+def brute_fit(docs, docs_per_lang=10**9, words_per_lang=20_000, grams_per_lang=8_000):
+    """Each distinct text of a language once; the most frequent words and n-grams of each language (ties: the first)."""
+    lists = {}
+    for lang in {r.lang for r in docs if r.lang is not None and r.text is not None}:
+        words = Counter(w for t in {r.text for r in docs if r.lang == lang and r.text is not None} for w in re.findall(r"[^\W\d_]+", t.lower()))
+        by_length = {0: words}
+        for n in (1, 2, 3, 4):
+            by_length[n] = Counter(f"^{w}$"[i : i + n] for w in words for i in range(len(w) + 3 - n))
+        for n, c in by_length.items():
+            most = words_per_lang if n == 0 else grams_per_lang
+            lists[lang, n] = dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return lists
+
+
+def brute_score(lists, text, smooth=0.5):
+    """Word by word: log frequencies of known words, else the mean over the longest n-grams that any language knows."""
+    langs = sorted({lang for lang, _ in lists})
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not langs or not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    every = {n: set().union(*(lists.get((x, n), {}) for x in langs)) for n in range(5)}
+    log = lambda lang, n, g: math.log((lists[lang, n].get(g, 0) + smooth) / (sum(lists[lang, n].values()) + smooth * len(every[n])))
+    total = dict.fromkeys(langs, 0.0)
+    for w in words:
+        n, found = 0, [w] if w in every[0] else []
+        for length in (4, 3, 2, 1):
+            if not found:
+                n, found = length, [g for i in range(len(w) + 3 - length) if (g := f"^{w}$"[i : i + length]) in every[length]]
+        for lang in langs:
+            total[lang] += sum(log(lang, n, g) for g in found) / max(1, len(found))
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(max(-700, t - total[best])) for t in total.values())
+
+
 def test_words_come_before_ngrams():
     """A known word scores by its own frequency; an unseen one by the longest n-grams that are known."""
     rows = [("a", 0, "word", 8), ("b", 0, "word", 2), ("a", 0, "other", 2), ("b", 0, "other", 8)]
@@ -25,13 +63,11 @@ def test_words_come_before_ngrams():
     assert s.score("word")[0] == "a" and s.score("Other")[0] == "b"
     assert s.score("words")[0] == "b"  # a 4-gram of it is known
     assert s.score("xz")[0] == "b" and s.score("zy")[0] == "a" and s.score("q")[0] == "a" and s.score("r")[0] == "b"
-    at, logs = m.logs[4]
-    found = m.unseen(["words", "jjj", "xz", "^wor"])
-    assert np.allclose(found[0], logs[at["^wor"]]) and not found[1].any()
-    assert np.allclose(found[2], m.logs[2][1][m.logs[2][0]["^x"]]) and m.grams("words") == (4, [at["^wor"]])
+    assert m.grams("words") == (4, [m.at[4]["^wor"]]) and m.grams("jjj") == (0, [])
     a = np.log(8.5 / 11)
     b = np.log(2.5 / 11)
     assert s.score("word")[1] == pytest.approx(1 / (1 + np.exp(b - a)), rel=1e-5)
+    assert s.score("word words, word jjj 12")[2:] == (4, 2)
 
 
 def test_scorer_forgets_without_changing_its_answers(monkeypatch):
@@ -41,6 +77,34 @@ def test_scorer_forgets_without_changing_its_answers(monkeypatch):
     assert [s.score(t) for t in texts] == [Scorer(m).score(t) for t in texts]
 
 
+def test_pieces_cut_no_word(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcé 1.\n", k=3000)) + "x" * 500
+    want = Counter(tokens(text))
+    for size in (1, 2, 7, 100, 4000):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert "".join(langid.pieces(text)) == text and counted(text) == want
+
+
+def test_many_languages_keep_the_model_small(spark):
+    """Lists are cut in proportion, no language is refused, and rows are sparse."""
+    docs = spark.range(6000).selectExpr("concat('w', translate(id, '0123456789', 'abcdefghij'), ' common') text", "concat('l', id % 1500) lang")
+    m = langid.fit(docs, words_per_lang=100, grams_per_lang=50, most_entries=30_000)
+    assert len(m.langs) == 1500 and len(m.gain) <= 30_000 and len(m.ends) <= 30_001
+    assert m.gain.nbytes + m.lang.nbytes < 8 * 30_001
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [*docs.collect(), *(Row(doc_id=10_000 + k, text=t, lang=[None, "en", "xx"][k % 3]) for k, t in enumerate([*EDGES, *EDGES, "ünder ßtraße", "zzz qqq"])), Row(doc_id=None, text="the of", lang="en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    lists = brute_fit([r for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 != 1])
+    want = sorted((str(r.doc_id), *brute_score(lists, r.text)) for r in rows)
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in op6_language_id(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-3, abs=1e-9)
+
+
 def test_identify_edges(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("x", None), ("", "de")], "text string, lang string")
     m = langid.fit(train)
