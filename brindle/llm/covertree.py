@@ -31,6 +31,8 @@ from brindle.llm.components import Forest, components
 #: Slack for rounding in pruning; links themselves are decided by the cosine alone.
 SLACK = 1e-9
 LEAF = 16
+#: Candidate pairs that are verified at a time.
+TOGETHER = 1 << 16
 
 
 class CoverTree:
@@ -67,14 +69,21 @@ class CoverTree:
         return len(self.centre) - 1
 
     def _cover(self, c: int, rows: np.ndarray, r: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Centres at least ``r`` apart, ``c`` first, and the rows that each covers within ``r``."""
-        out = []
-        while len(rows):
-            d = self._dist(c, rows)
-            near = d <= r
-            out.append((c, rows[near], d[near]))
-            rows = rows[~near]
-            c = int(rows[0]) if len(rows) else c
+        """Centres about ``r`` apart, ``c`` first, the rows that each covers, and their true distances. Distances that
+        only decide on centres come from products of matrices, for some next centres at a time."""
+        x, out, step = self.x[rows], [], 1
+        square, free = (x * x).sum(axis=1), np.ones(len(rows), bool)
+        turn = np.flatnonzero(rows == c)
+        while len(turn):
+            apart = square[turn][:, None] + square[None, :] - 2 * x[turn] @ x.T
+            for k, own in enumerate(turn):
+                if free[own]:
+                    near = free & (apart[k] <= r * r)
+                    near[own] = True
+                    free &= ~near
+                    mine = rows[near]
+                    out.append((int(rows[own]), mine, self._dist(int(rows[own]), mine)))
+            turn, step = np.flatnonzero(free)[:step], min(64, 2 * step)
         return out
 
 
@@ -113,24 +122,46 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterat
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
     a = CoverTree(x / nx[:, None], reach / 4)
     b = a if same else CoverTree(y / ny[:, None], reach / 4)
-    for p, q in pairs(a, b, reach):
-        for at in range(0, len(p), 1 << 16):
-            s, t = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-            ok = (x[s] * y[t]).sum(axis=1) / (nx[s] * ny[t]) >= threshold
-            if ok.any():
-                yield s[ok], t[ok]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def near() -> tuple[np.ndarray, np.ndarray]:
+        s, t = (np.concatenate(z) for z in zip(*held, strict=True))
+        held.clear()
+        ok = (x[s] * y[t]).sum(axis=1) / (nx[s] * ny[t]) >= threshold
+        return s[ok], t[ok]
 
-def _spanning(forest: Forest, names: np.ndarray, s: np.ndarray, t: np.ndarray) -> None:
-    """Joins the ends of the links ``s``-``t`` (places in ``names``) in the forest. Each pass joins one link of every
-    vector that still has one across trees, so the Python loop is over vectors and not over links."""
-    while len(s):
-        _, first = np.unique(s, return_index=True)
-        for a, b in zip(names[s[first]].tolist(), names[t[first]].tolist(), strict=True):
-            forest.join(a, b)
-        root = np.array([forest.root(a) for a in names.tolist()])
-        across = root[s] != root[t]
-        s, t = s[across], t[across]
+    waiting = 0
+    for p, q in pairs(a, b, reach):
+        for at in range(0, len(p), TOGETHER):
+            held.append((p[at : at + TOGETHER], q[at : at + TOGETHER]))
+            waiting += len(held[-1][0])
+            if waiting >= TOGETHER:
+                yield near()
+                waiting = 0
+    if waiting:
+        yield near()
+
+
+class Groups:
+    """Nodes 0 .. n - 1 and the sets that links join them to; ``least`` is the smallest member's place."""
+
+    def __init__(self, n: int):
+        self.top, self.forest = np.arange(n), Forest()
+
+    def join(self, s: np.ndarray, t: np.ndarray) -> None:
+        """Each pass joins one link of every set that still has one to another, so the Python loop is over sets, whose
+        number at least halves, and not over links."""
+        while True:
+            a, b = self.top[s], self.top[t]
+            across = a != b
+            if not across.any():
+                return
+            s, t, a, b = s[across], t[across], a[across], b[across]
+            _, first = np.unique(a, return_index=True)
+            for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                self.forest.join(x, y)
+            tops, at = np.unique(self.top, return_inverse=True)
+            self.top = np.array([self.forest.root(x) for x in tops.tolist()])[at]
 
 
 def _compare(threshold: float):
@@ -142,18 +173,16 @@ def _compare(threshold: float):
         names = left["node"].to_numpy(np.int64) if same else np.concatenate([left["node"], right["node"]]).astype(np.int64)
         copies = left["copies"].to_numpy(np.int64) if same else np.concatenate([left["copies"], right["copies"]]).astype(np.int64)
         shift = 0 if same else len(left)
-        found, forest = np.zeros(len(names), np.int64), Forest()
+        found, groups = np.zeros(len(names), np.int64), Groups(len(names))
         if len(left) and len(right):
             x = np.vstack(left["v"].to_numpy()).astype(np.float64)
             y = x if same else np.vstack(right["v"].to_numpy()).astype(np.float64)
             for s, t in linked(x, y, threshold, same):
                 t = t + shift
-                np.add.at(found, s, copies[t])
-                np.add.at(found, t, copies[s])
-                _spanning(forest, names, s, t)
+                found += np.bincount(s, copies[t], len(names)).astype(np.int64) + np.bincount(t, copies[s], len(names)).astype(np.int64)
+                groups.join(s, t)
         on = np.flatnonzero(found)
-        roots = [forest.root(a) for a in names[on].tolist()]
-        return pd.DataFrame({"node": names[on], "links": found[on], "root": np.array(roots, np.int64)})
+        return pd.DataFrame({"node": names[on], "links": found[on], "root": names[groups.top[on]]})
 
     return of
 
@@ -256,6 +285,15 @@ def _nearest(table: dict[tuple[int, int], np.ndarray], spark: SparkSession):
     return nearest
 
 
+def _apart(u: pd.Series, v: pd.Series) -> pd.Series:
+    """Distances of vectors, none of which is empty."""
+    if not len(u):
+        return pd.Series([], dtype="float64")
+    ends = np.cumsum([len(x) for x in u])
+    d = np.concatenate(u.to_numpy()) - np.concatenate(v.to_numpy())
+    return pd.Series(np.sqrt(np.add.reduceat(d * d, np.concatenate([[0], ends[:-1]]))))
+
+
 def _pairs_of_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     """Rows for each pair (i <= j) of blocks of a group that may hold links, with the ``side`` they are on.
 
@@ -263,7 +301,7 @@ def _pairs_of_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     A vector goes to the pair only if it is within the other block's radius of its centre, and the reach.
     """
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
-    apart = lambda p, q: F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)))
+    apart = F.pandas_udf(_apart, "double")
     placed = stored(placed.withColumn("u", unit(F.col("v"))), "blocks")
     first = stored(placed.groupBy("group", "block").agg(F.min_by("u", "node").alias("centre")), "centres")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
@@ -272,12 +310,12 @@ def _pairs_of_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     blocks = stored(first.join(radii, ["group", "block"]), "radii")
     x, y = blocks.alias("x"), blocks.alias("y")
     near = (F.col("x.group") == F.col("y.group")) & (F.col("x.block") <= F.col("y.block"))
-    near &= apart(F.col("x.centre"), F.col("y.centre")) <= F.col("x.radius") + F.col("y.radius") + reach
+    close = apart(F.col("x.centre"), F.col("y.centre")) <= F.col("x.radius") + F.col("y.radius") + reach
     of = lambda block, other, side: (
         F.col("x.group").alias("group"), F.col(f"{block}.block").alias("block"), F.col("x.block").alias("i"), F.col("y.block").alias("j"),
         F.lit(side).alias("side"), F.col(f"{other}.centre").alias("centre"), (F.col(f"{other}.radius") + reach).alias("most"),
     )
-    pairs_ = stored(x.join(y, near).select(F.struct(*of("x", "y", 0)).alias("a"), F.struct(*of("y", "x", 1)).alias("b")), "pairs")
+    pairs_ = stored(x.join(y, near).where(close).select(F.struct(*of("x", "y", 0)).alias("a"), F.struct(*of("y", "x", 1)).alias("b")), "pairs")
     sides = pairs_.select("a.*").union(pairs_.where("a.i < a.j").select("b.*"))
     reaching = apart(F.col("u"), F.col("centre")) <= F.col("most")
     return placed.join(sides, ["group", "block"]).where(reaching).select("group", "i", "j", "side", "node", "copies", "v")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from brindle.llm import simhash
 from brindle.llm.common import stored
-from brindle.llm.components import Forest, components, with_least
-from brindle.llm.covertree import CoverTree, _spanning, grouped, pairs
+from brindle.llm.components import components, with_least
+from brindle.llm.covertree import CoverTree, Groups, grouped, pairs
 from brindle.llm.queries_simhash import op3_simhash_dedup
 from brindle.llm.simhash import fingerprint, hexed, links, point, representatives
 
@@ -253,13 +253,12 @@ def test_one_id_with_two_vectors(spark):
 
 def test_forest_of_many_links_joins_what_they_join():
     rng = np.random.default_rng(12)
-    names = np.sort(rng.choice(10_000, 300, replace=False))
     s, t = rng.integers(0, 300, 500), rng.integers(0, 300, 500)
     s, t = np.concatenate([s, np.repeat(np.arange(40), 40)]), np.concatenate([t, np.tile(np.arange(40), 40)])
-    forest = Forest()
-    _spanning(forest, names, s, t)
-    want = brute_components(zip(names[s].tolist(), names[t].tolist(), strict=True))
-    assert {a: forest.root(a) for a in want} == want
+    groups = Groups(300)
+    groups.join(s, t)
+    want = brute_components(zip(s.tolist(), t.tolist(), strict=True))
+    assert {a: groups.top[a] for a in want} == want and all(groups.top[a] == a for a in range(300) if a not in want)
 
 
 def test_no_vectors(spark):
