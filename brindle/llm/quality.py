@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are rows labelled good; everything else is unlabelled web text. A linear model over byte
-statistics and repetition measures minimises the non-negative unbiased risk
+Trusted positives are rows labelled good; everything else is unlabelled web text. A linear model over byte, word and
+word-pair statistics and repetition measures minimises the non-negative unbiased risk
 
     prior * E_p[loss(z)] + max(0, E_u[loss(-z)] - prior * E_p[loss(-z)])
 
@@ -16,45 +16,111 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import give_back, small_batches
+from brindle.llm.common import give_back, small_batches, stored
 
-BYTES, PAIRS = 129, 512
+#: Sizes of the spreads: bytes (those beyond ASCII together), byte pairs, words and word pairs by hash.
+BYTES, PAIRS, WORDS, WORD_PAIRS = 129, 256, 320, 256
+SPREADS = BYTES + PAIRS + WORDS + WORD_PAIRS
 #: Steps at which the shares of repeated windows and lines become features of their own.
 STEPS = np.array([0.05, 0.1, 0.2, 0.35, 0.5, 0.7])
-WIDTH = BYTES + PAIRS + 4 + 2 * (1 + len(STEPS))
+WIDTH = SPREADS + 4 + 2 * (1 + len(STEPS))
+#: Bytes that are looked at together; a longer word counts as several.
+CHUNK = 1 << 18
+#: An odd factor, its inverse modulo 2**64, and one to spread the bits of a hash.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+SPREAD = 0xBF58476D1CE4E5B9
+
+
+@lru_cache(maxsize=2)
+def _powers(factor: int, n: int = CHUNK) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full(n + 1, factor, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(SPREAD)
+    return h ^ (h >> np.uint64(29))
+
+
+def _chunks(b: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces of up to CHUNK bytes; where one holds a space, it ends behind its last."""
+    at = 0
+    while at < len(b):
+        piece = b[at : at + CHUNK]
+        if at + CHUNK < len(b) and len(spaces := np.flatnonzero(_space(piece))):
+            piece = piece[: spaces[-1] + 1]
+        yield piece
+        at += len(piece)
+
+
+def _space(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13))
+
+
+def _word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's words: where each starts and its hash, the sum of its bytes times powers of FACTOR, mixed."""
+    edge = np.diff(np.concatenate([[0], (~_space(b)).view(np.int8), [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(FACTOR)[: len(b)], dtype=np.uint64)])
+    return starts, _mix((sums[ends] - sums[starts]) * _powers(INVERSE)[starts])
+
+
+def _distinct(values: np.ndarray) -> int:
+    values.sort()
+    return int((values[1:] != values[:-1]).sum()) + 1 if len(values) else 0
 
 
 def features(text: str | None) -> np.ndarray:
-    """Byte and hashed byte-pair spread, lengths, and shares of repeated 3-word windows and lines.
+    """Spread of bytes, byte pairs, words and word pairs, lengths, and shares of repeated 3-word windows and lines.
 
-    Null and empty texts have a vector too (all zero but for the intercept's sake), so they get a score.
+    Words are runs of anything but the six ASCII spaces and lines those that have one. Null and empty texts have a
+    vector too (all zero), so they get a score. A text of n words takes about 50 n bytes beside its own.
     """
     out = np.zeros(WIDTH, np.float32)
     if not text:
         return out
     b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    low = np.minimum(b, 128).astype(np.int32)
-    out[:BYTES] = np.sqrt(np.bincount(low, minlength=BYTES) / len(b))
-    if len(b) > 1:
-        pair = (low[:-1] * 31 + low[1:] * 7 + (low[:-1] >> 3)) % PAIRS
-        out[BYTES : BYTES + PAIRS] = np.sqrt(np.bincount(pair, minlength=PAIRS) / len(pair))
-    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
-    n = max(1, len(words))
-    windows = max(1, len(words) - 2)
-    shares = (
-        max(0.0, 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / windows) if len(words) > 2 else 0.0,
-        1 - len(set(lines)) / max(1, len(lines)),
-    )
-    rest = [np.log1p(len(words)), np.log1p(len(lines)), len(b) / n / 10, len(set(words)) / n]
+    spreads = [np.zeros(n) for n in (BYTES, PAIRS, WORDS, WORD_PAIRS)]
+    hashes, lines, line, last, before = [], [], 0, np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    for piece in _chunks(b):
+        low = np.minimum(piece, 128).astype(np.int32)
+        spreads[0] += np.bincount(low, minlength=BYTES)
+        low = np.concatenate([last, low])
+        spreads[1] += np.bincount((low[:-1] * 31 + low[1:] * 7 + (low[:-1] >> 3)) % PAIRS, minlength=PAIRS)
+        starts, h = _word_hashes(piece)
+        spreads[2] += np.bincount((h % np.uint64(WORDS)).astype(np.int32), minlength=WORDS)
+        both = np.concatenate([before, h])
+        spreads[3] += np.bincount((_mix(both[:-1] * np.uint64(FACTOR) + both[1:]) % np.uint64(WORD_PAIRS)).astype(np.int32), minlength=WORD_PAIRS)
+        ends = np.flatnonzero(piece == 10)
+        hashes.append(h)
+        lines.append((np.searchsorted(ends, starts) + line).astype(np.int32))
+        line, last, before = line + len(ends), low[-1:], both[-1:]
+    at = 0
+    for spread in spreads:
+        out[at : at + len(spread)] = np.sqrt(spread / max(1, spread.sum()))
+        at += len(spread)
+    h, line_of = np.concatenate(hashes), np.concatenate(lines)
+    n = max(1, len(h))
+    windows = h[:-2] * np.uint64(FACTOR) + h[1:-1] * np.uint64(SPREAD) + h[2:]
+    first = np.flatnonzero(np.diff(line_of, prepend=-1))
+    place = (np.arange(len(h)) - np.repeat(first, np.diff(first, append=len(h)))) % CHUNK
+    whole = np.add.reduceat(h * _powers(FACTOR)[place], first) if len(first) else h
+    n_lines, n_windows = len(first), len(windows)
+    shares = 1 - _distinct(windows) / n_windows if n_windows else 0.0, 1 - _distinct(whole) / n_lines if n_lines else 0.0
+    rest = [np.log1p(len(h)), np.log1p(n_lines), len(b) / n / 10, _distinct(h) / n]
     for s in shares:
         rest += [s, *(s >= STEPS)]
-    out[BYTES + PAIRS :] = rest
+    out[SPREADS:] = rest
     return out
 
 
@@ -112,7 +178,11 @@ def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 300, decay: float =
         return QualityModel(None, 0.0, np.zeros(WIDTH), np.ones(WIDTH), 0.5)
     mean = xu.mean(axis=0).astype(np.float32)
     scale = (1 / np.maximum(xu.std(axis=0), 0.02)).astype(np.float32)
-    p, u = (np.hstack([(x - mean) * scale, np.ones((len(x), 1), np.float32)]) for x in (xp, xu))
+    p, u = (np.empty((len(x), x.shape[1] + 1), np.float32) for x in (xp, xu))
+    for x, z in ((xp, p), (xu, u)):
+        np.subtract(x, mean, out=z[:, :-1])
+        z[:, :-1] *= scale
+        z[:, -1] = 1
     shrink = np.full(p.shape[1], decay, np.float32)
     shrink[-1] = 0
 
@@ -128,27 +198,44 @@ def fit_arrays(xp: np.ndarray, xu: np.ndarray, steps: int = 300, decay: float =
 
     prior = (apart(0) + apart(1)) / 2
 
-    def risk(w):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        good = -prior * (1 - sigmoid(zp)) @ p / len(p)
-        bad = sigmoid(zu) @ u / len(u) - prior * sigmoid(zp) @ p / len(p)
-        return (good + bad if negative >= 0 else -bad) + shrink * w
-
-    w = _descend(risk, p.shape[1], steps, rate)
+    w = _descend(lambda w: risk_gradient(w, p, u, prior) + shrink * w, p.shape[1], steps, rate)
     return QualityModel(w[:-1].astype(np.float32), float(w[-1]), mean, scale, prior)
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Feature rows of the documents with these ids: at most ``most`` of them."""
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of prior * E_p[loss(z)] + max(0, N), N = E_u[loss(-z)] - prior * E_p[loss(-z)]; where N is negative, of -N: the
+    step that undoes what made it so."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    good = -prior * (1 - sigmoid(zp)) @ p / len(p)
+    bad = sigmoid(zu) @ u / len(u) - prior * sigmoid(zp) @ p / len(p)
+    return good + bad if negative >= 0 else -bad
+
+
+def _sampled(docs: DataFrame, ids: DataFrame, most: int, seed: int) -> np.ndarray:
+    """Feature rows of at most ``most`` distinct texts of the documents with these ids (at most so many), by hash.
+
+    Which texts they are is settled by hashes first; features are taken where the texts are, and only they move.
+    """
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [features(t).tobytes() for t in pdf["_text"]]})
+            yield pd.DataFrame({"_id": pdf["_id"], "_hash": pdf["_hash"], "x": [features(t).tobytes() for t in pdf["_text"]]})
+        give_back()
 
-    rows = docs.join(F.broadcast(ids), "_id", "left_semi").select("_text").limit(most)
-    got = rows.mapInPandas(vectors, "x binary").collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, WIDTH)
+    d = docs.withColumn("_hash", F.xxhash64("_text"))
+    order = F.xxhash64("_id", F.lit(seed)), F.col("_id"), F.col("_hash")
+    mine = d.join(F.broadcast(ids), "_id", "left_semi").select("_id", "_hash").distinct().orderBy(*order).limit(most)
+    mine = stored(mine, "sample")
+    kind = docs.select("_id").schema[0].dataType.simpleString()
+    rows = d.join(F.broadcast(mine), ["_id", "_hash"], "left_semi").select("_id", "_hash", "_text")
+    found = rows.mapInPandas(vectors, f"_id {kind}, _hash long, x binary").groupBy("_id", "_hash").agg(F.first("x").alias("x"))
+    found = found.select(order[0].alias("o"), "_id", "_hash", "x").collect()
+    found.sort(key=lambda r: (r["o"], r["_id"], r["_hash"]))
+    out = np.empty((len(found), WIDTH), np.float32)
+    for k, r in enumerate(found):
+        out[k] = np.frombuffer(r["x"], np.float32)
+    return out
 
 
 def fit(
@@ -159,16 +246,24 @@ def fit(
     most_positives: int = 5000,
     most_unlabelled: int = 10_000,
 ) -> QualityModel:
-    """A model from ``docs`` (unlabelled) and the keys in ``positives``; both are sampled by a hash of the key."""
+    """A model from ``docs`` (unlabelled) and the keys in ``positives``; both are sampled by a hash of the key.
+
+    A text that stands several times under one key counts once. Null keys are not learned from. With fewer than two
+    positives or documents the model scores everything 0.5.
+    """
 
     def chosen(df: DataFrame, most: int, seed: int) -> DataFrame:
         ids = df.select(F.col(key).alias("_id")).where(F.col("_id").isNotNull())
-        return ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(most).distinct()
+        rank = F.xxhash64("_id", F.lit(seed))
+        # About twice as many as are wanted, by their hashes' last bits, so that not all ids are told apart.
+        share = (2 * most + 100) / max(1, ids.agg(F.approx_count_distinct("_id")).first()[0])
+        few = ids.where(F.pmod(F.xxhash64("_id", F.lit(-seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).distinct()
+        return stored(few.orderBy(rank, "_id").limit(most), "chosen")
 
     small_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    xp = _sampled(d, chosen(positives, most_positives, 1), most_positives)
-    xu = _sampled(d, chosen(docs, most_unlabelled, 2), most_unlabelled)
+    xp = _sampled(d, chosen(positives, most_positives, 1), most_positives, 1)
+    xu = _sampled(d, chosen(docs, most_unlabelled, 2), most_unlabelled, 2)
     return fit_arrays(xp, xu)
 
 
@@ -178,7 +273,8 @@ def trusted(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> D
 
 
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "quality_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for every row; a column of that name is replaced."""
+    """``docs`` with a score from 0 to 1 for every row; a column of that name is replaced. Null and empty texts are
+    scored by the model too, equal texts alike; no rows give no rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.bias, model.mean, model.scale, model.prior))
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -154,12 +155,141 @@ def test_language_held_out(spark):
 # Quality
 
 
+def brute_features(text, chunk):
+    """Byte by byte and word by word, with plain integers."""
+    most = (1 << 64) - 1
+    out = [np.zeros(n) for n in (quality.BYTES, quality.PAIRS, quality.WORDS, quality.WORD_PAIRS)]
+    if not text:
+        return np.zeros(quality.WIDTH)
+    b = text.encode()
+    low = [min(x, 128) for x in b]
+    pieces, at = [], 0
+    while at < len(b):
+        piece = b[at : at + chunk]
+        if at + chunk < len(b) and any(x in b" \t\n\x0b\x0c\r" for x in piece):
+            piece = piece[: max(k for k, x in enumerate(piece) if x in b" \t\n\x0b\x0c\r") + 1]
+        pieces.append(piece)
+        at += len(piece)
+    words = [[w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", line) if w] for piece in [b"\0CUT\0".join(pieces)] for line in piece.split(b"\n")]
+    words = [[v for w in line for v in w.split(b"\0CUT\0") if v] for line in words]
+
+    def mix(h):
+        h = ((h ^ h >> 31) * quality.SPREAD) & most
+        return h ^ h >> 29
+
+    hashed = lambda w: mix(sum((x + 1) * pow(quality.FACTOR, k, 1 << 64) for k, x in enumerate(w)) & most)
+    lines = [tuple(map(hashed, line)) for line in words if line]
+    h = [x for line in lines for x in line]
+    for x in low:
+        out[0][x] += 1
+    for x, y in zip(low, low[1:]):
+        out[1][(x * 31 + y * 7 + (x >> 3)) % quality.PAIRS] += 1
+    for x in h:
+        out[2][x % quality.WORDS] += 1
+    for x, y in zip(h, h[1:]):
+        out[3][mix((x * quality.FACTOR + y) & most) % quality.WORD_PAIRS] += 1
+    windows = list(zip(h, h[1:], h[2:]))
+    shares = [1 - len(set(x)) / len(x) if x else 0.0 for x in (windows, lines)]
+    rest = [math.log1p(len(h)), math.log1p(len(lines)), len(b) / max(1, len(h)) / 10, len(set(h)) / max(1, len(h))]
+    for s in shares:
+        rest += [s, *(float(s >= step) for step in quality.STEPS)]
+    return np.concatenate([*(np.sqrt(x / max(1, x.sum())) for x in out), rest])
+
+
+FEATURED = [*(t for t in EDGES if t is None or len(t) < 1000), "\x00\n\n", "a b c a b c a b c\nx\n\n x \nx  \ty\n", "the quick brown fox " * 9 + "\n" + "lazy dog " * 3, "w" * 100 + " " + "é" * 90]
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 16, 5])
+def test_features_against_brute_force(chunk, monkeypatch):
+    """Also where a text, a line or a word lies in several chunks."""
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    for t in FEATURED:
+        assert np.allclose(quality.features(t), brute_features(t, chunk), atol=1e-6), t
+
+
 def test_features_of_edges():
-    for t in [*EDGES, "\x00\n\n", "a\n" * 1000]:
+    for t in [*EDGES, "\x00\n\n", "a\n" * 1000, "\n" * 300_000]:
         x = quality.features(t)
         assert x.shape == (quality.WIDTH,) and np.isfinite(x).all()
 
 
+def test_features_of_a_very_long_text_take_little_memory():
+    text = "word and other wörds " * 1_500_000
+    tracemalloc.start()
+    quality.features(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(text)
+
+
+def written_risk(w, p, u, prior):
+    """prior * E_p[loss(z)] and E_u[loss(-z)] - prior * E_p[loss(-z)], row by row."""
+    loss = lambda z: math.log1p(math.exp(-z))
+    positive = sum(loss(float(x @ w)) for x in p) / len(p)
+    negative = sum(loss(-float(x @ w)) for x in u) / len(u) - prior * sum(loss(-float(x @ w)) for x in p) / len(p)
+    return prior * positive, negative
+
+
+def test_gradient_is_that_of_the_risk_as_written():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (7, 4)), rng.normal(0, 1, (9, 4))
+    seen = set()
+    for prior in (0.2, 0.6, 0.95):
+        for scale in (0.1, 1.0, 5.0):
+            w = rng.normal(0, scale, 4)
+            sign = 1 if written_risk(w, p, u, prior)[1] >= 0 else -1
+            seen.add(sign)
+
+            def whole(v, sign=sign, prior=prior):
+                positive, negative = written_risk(v, p, u, prior)
+                return positive + negative if sign > 0 else -negative
+
+            slope = [(whole(w + e) - whole(w - e)) / 2e-6 for e in 1e-6 * np.eye(4)]
+            assert np.allclose(quality.risk_gradient(w, p, u, prior), slope, atol=1e-5)
+    assert seen == {1, -1}
+
+
+def test_prior_as_written():
+    """The least ratio of the shares that score at least c, over cuts that leave half of the positives."""
+    rng = np.random.default_rng(3)
+    sp, su = rng.normal(1, 1, 60), rng.normal(0, 1, 90)
+    ratios = []
+    for k in range(81):
+        c = np.quantile(sp, 0.5 * k / 80)
+        ratios.append((sum(x >= c for x in su) / 90) / (sum(x >= c for x in sp) / 60))
+    want = min(ratios) - 0.5 * (1 / math.sqrt(90) + 1 / math.sqrt(60))
+    assert quality.estimate_prior(sp, su) == pytest.approx(min(0.99, max(0.01, want)))
+
+
+def test_quality_query_against_brute_force(spark):
+    """Every document and trusted label outside the fold, in the order of their hashes; brute features, then the fit."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    good = [r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1 and not out(r.doc_id)]
+    x = {k: brute_features(t, quality.CHUNK).astype(np.float32) for k, t in docs.items()}
+
+    def sample(ids, seed):
+        order = spark.createDataFrame([(k,) for k in ids], "k long").select("k", F.xxhash64("k", F.lit(seed)).alias("h")).collect()
+        return np.vstack([x[r.k] for r in sorted(order, key=lambda r: (r.h, r.k))])
+
+    m = quality.fit_arrays(sample(good, 1), sample([k for k in docs if not out(k)], 2))
+    got = {r.doc_id: r for r in op1_quality_classifier(spark, sf).collect()}
+    for k in docs:
+        z = float(((x[k] - m.mean) * m.scale) @ m.w + m.bias)
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-3) and got[k].held_out == out(k)
+
+
+def test_repeated_keys_with_other_texts(spark):
+    """Distinct texts of a key count once each, which of them is settled by hashes, and null keys are not learned from."""
+    rows = [(1, f"text {k % 40}") for k in range(400)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "_id long, _text string")
+    ids = docs.select("_id").where("_id IS NOT NULL").distinct()
+    one, many = (quality._sampled(docs.repartition(n), ids, 25, 1) for n in (1, 6))
+    assert one.shape == (25, quality.WIDTH) and (one == many).all()
+    assert quality._sampled(docs, ids, 500, 1).shape[0] == 40
+
+
 def test_prior_and_risk_on_known_mixtures():
     """Two Gaussian classes: the prior is near the share of positives, and labels are recovered without negatives."""
     rng = np.random.default_rng(11)
@@ -186,12 +316,6 @@ def test_trusted_labels(spark):
     assert [r.doc_id for r in quality.trusted(labels).collect()] == [1]
 
 
-def test_hot_key_stays_bounded(spark):
-    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)], "doc_id long, text string")
-    ids = spark.createDataFrame([(1,)], "_id long")
-    assert len(quality._sampled(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), ids, 50)) == 50
-
-
 def test_quality_held_out(spark):
     out = op1_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").collect()
     assert len(out) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
