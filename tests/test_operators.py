@@ -1,13 +1,14 @@
 """Operators on small typed tables with NULLs."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle import functions as E
-from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, order_by, output, scan_select, select, vector_select
+from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, numbered, order_by, output, ranked, scan_select, select, vector_select
 from brindle.operators.joins import join_order, tables_of
 from brindle.plans import catalogue
 from brindle.plans.inspect import plan_json, plan_text
@@ -112,6 +113,22 @@ def test_null_is_largest(info):
     assert ids(True) == [1, 2, 3, 4, 5, None] and ids(False) == [None, 5, 4, 3, 2, 1]
 
 
+def test_rows_are_numbered_in_their_order(spark):
+    """Against sorting in Python, with NULLs, ties, hot and NULL groups, over many partitions."""
+    rng = random.Random(5)
+    data = [(k, rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice([None, 1, 2, rng.randrange(999)])) for k in range(2000)]
+    df = spark.createDataFrame(data, "k long, g string, v int").repartition(7)
+    out = ranked(df, ["g"], [F.col("v").desc(), F.col("k")], "n").collect()
+    assert len(out) == 2000
+    for g in ("a", "b", "hot", None):
+        want = sorted((r for r in data if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [(r.k, r.n) for r in sorted((r for r in out if r.g == g), key=lambda r: r.n)] == [(r[0], n) for n, r in enumerate(want, 1)]
+    whole = numbered(order_by(df, [("v", True), ("k", False)]), "n").collect()
+    want = sorted(data, key=lambda r: (r[2] is None, r[2] or 0, -r[0]))
+    assert [r.k for r in sorted(whole, key=lambda r: r.n)] == [r[0] for r in want] and {r.n for r in whole} == set(range(1, 2001))
+    assert ranked(df.limit(0), ["g"], [F.col("k")], "n").count() == 0
+
+
 @pytest.mark.parametrize("strategy", [None, "merge", "shuffle_hash", "broadcast"])
 @pytest.mark.parametrize("key", ["id", "cheated", "date", "zscore", "num1", "num2"])
 def test_hash_join_by_type(info, key, strategy):
