@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches, stored
+from brindle.llm.common import let, small_batches, stored
 from brindle.llm.components import Forest, components
 
 #: Slack for rounding in pruning; links themselves are decided by the cosine alone.
@@ -300,7 +300,8 @@ def _pairs_of_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     A block's centre is its first vector by node and its radius the greatest distance from it, so the bound is exact.
     A vector goes to the pair only if it is within the other block's radius of its centre, and the reach.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y))
+    unit = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: x / n))
     apart = F.pandas_udf(_apart, "double")
     placed = stored(placed.withColumn("u", unit(F.col("v"))), "blocks")
     first = stored(placed.groupBy("group", "block").agg(F.min_by("u", "node").alias("centre")), "centres")

@@ -17,59 +17,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stored, words
+from brindle.operators.sorting import ranked
 
 #: Up to so many sources, the table of sources is broadcast; beyond, Spark joins it as it sees fit.
 BROADCAST_SOURCES = 2000
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """Adds ``place``, ``weight`` and ``target`` to one row per source (columns source, source_size).
+    """Adds ``place``, ``weight``, ``target`` and ``total`` to one row per source (columns source, source_size, n_docs).
 
-    A source whose share by weight exceeds its cap gets the cap. Sorted by cap / weight, the capped sources
-    come first, so one running sum finds them all.
+    All sources share the total by weight; those whose share exceeds their cap get the cap, and the rest is shared
+    anew until no share is above. Each round is one aggregate of the whole table to one row.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    before = Window.orderBy("fill", "place").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    zero = F.lit(0).cast("long")
+    placed = ranked(sources, [], [F.col("source").isNull(), F.col("source")], "place")
     w = F.element_at(F.array(*map(F.lit, weights)), F.expr(f"cast((place - 1) % {len(weights)} as int) + 1")).cast("long")
-    t = (
-        sources.withColumn("place", F.row_number().over(by_name).cast("long"))
-        .withColumn("weight", w)
-        .withColumn("cap", F.col("source_size") * max_repeats)
-        .withColumn("fill", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), zero))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), zero))
-        .withColumn("capped", F.col("fill") <= (F.col("total") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before")))
-        .withColumn("cap_all", F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(zero)).over(everything))
-        .withColumn("weight_all", F.sum(F.when(F.col("capped"), F.col("weight")).otherwise(zero)).over(everything))
-    )
-    rest = (F.col("total") - F.col("cap_all")) / (F.col("all_weight") - F.col("weight_all"))
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(rest * F.col("weight"))
-    return t.select("source", "source_size", "n_docs", "place", "weight", "total", target.alias("target"))
-
-
-def apportion(votes: DataFrame, group: Sequence[str], order: str, vote: str, seats: str, out: str) -> DataFrame:
+    t = stored(placed.withColumn("weight", w).withColumn("cap", F.col("source_size") * max_repeats), "placed")
+    fill, zero, share = F.col("cap") / F.col("weight"), F.lit(0).cast("long"), None
+    while True:
+        capped = F.lit(False) if share is None else fill <= F.lit(share)
+        caps, shared_by = F.sum(F.when(capped, F.col("cap")).otherwise(zero)), F.sum(F.when(capped, zero).otherwise(F.col("weight")))
+        total, caps, shared_by = t.agg(F.sum("source_size"), caps, shared_by).first()
+        if not total or not shared_by or share == (total - caps) / shared_by:
+            break
+        share = (total - caps) / shared_by
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(share) * F.col("weight")) if total else F.lit(0.0)
+    return t.select("source", "source_size", "n_docs", "place", "weight", F.lit(total or 0).cast("long").alias("total"), target.alias("target"))
+
+
+def apportion(votes: DataFrame, group: Sequence[str], order: str, vote: str, of: str, parties: str, seats: str, out: str) -> DataFrame:
     """Adds ``out``: the seats of each row by highest quotients ``vote`` / (2k + 1), ties to the lower ``order``.
 
-    ``seats`` is the number to deal in the row's ``group``. Dealing with a divisor that gives too few seats and
-    with one that gives too many brackets each row's seats, so only the last few quotients are ranked: about
-    four rows for each input row, however many seats there are.
+    Rows of a ``group`` share the values of three columns: ``of``, the sum of their votes, ``parties``, a number of rows
+    that is not below theirs, and ``seats``, how many there are to deal. Dealing with a divisor that gives too few seats
+    and with one that gives too many brackets each row's seats, so only the last few quotients are ranked: about
+    four rows for each input row, however many seats there are, and by many tasks also within a group.
     """
-    g = Window.partitionBy(*group)
-    n, v, half = F.col(seats).cast("double"), F.col(vote).cast("double"), F.count(F.lit(1)).over(g) / 2
-    base = votes.withColumn("_sum", F.sum(v).over(g)).withColumn("_half", half).withColumn("_share", F.when(F.col("_sum") > 0, v / F.col("_sum")).otherwise(0.0))
-    base = base.withColumn("_lo", F.greatest(F.lit(0), F.floor(F.col("_share") * (n - F.col("_half")) + 0.5) - 1).cast("long"))
-    base = base.withColumn("_hi", (F.floor(F.col("_share") * (n + F.col("_half")) + 0.5) + 1).cast("long"))
-    base = base.withColumn("_left", F.col(seats) - F.sum("_lo").over(g))
-    ranked = base.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*group).orderBy((v / (2 * F.col("_k") + 1)).desc(), F.col(order)))
-    )
-    kept = [c for c in votes.columns]
-    won = F.sum(F.when((F.col("_rank") <= F.col("_left")) & (v > 0), 1).otherwise(0))
-    return ranked.groupBy(*kept, "_lo").agg(won.alias("_won")).select(*kept, (F.col("_lo") + F.col("_won")).cast("long").alias(out))
+    n, v, half = F.col(seats).cast("double"), F.col(vote).cast("double"), F.col(parties) / 2
+    share = F.when(F.col(of) > 0, v / F.col(of)).otherwise(0.0)
+    base = votes.withColumn("_lo", F.greatest(F.lit(0), F.floor(share * (n - half) + 0.5) - 1).cast("long"))
+    base = stored(base.withColumn("_hi", (F.floor(share * (n + half) + 0.5) + 1).cast("long")), "votes")
+    if group:
+        dealt = stored(base.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.sum("_lo").alias("_dealt")), "dealt")
+        open_ = base.join(dealt, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    else:
+        open_ = base.withColumn("_dealt", F.lit(base.agg(F.sum("_lo")).first()[0]).cast("long"))
+    open_ = open_.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).select(*votes.columns, "_lo", "_dealt", "_k")
+    by_quotient = ranked(open_, group, [(v / (2 * F.col("_k") + 1)).desc(), F.col(order)], "_rank")
+    won = F.sum(F.when((F.col("_rank") <= F.col(seats) - F.col("_dealt")) & (v > 0), 1).otherwise(0))
+    return by_quotient.groupBy(*votes.columns, "_lo").agg(won.alias("_won")).select(*votes.columns, (F.col("_lo") + F.col("_won")).cast("long").alias(out))
 
 
 def mix(
@@ -98,14 +93,18 @@ def mix(
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeats)
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_docs)).cast("long")
     blocks = F.when(F.col("total") > 0, F.greatest(F.lit(1), F.round(F.col("total") / block_words))).otherwise(0).cast("long")
-    sources = stored(apportion(sources.withColumn("n_shards", n_shards).withColumn("blocks", blocks), [], "place", "target", "blocks", "quota"), "sources")
-    few = sources.count() <= BROADCAST_SOURCES
+    sources = stored(sources.withColumn("n_shards", n_shards).withColumn("blocks", blocks), "targets")
+    n_sources, all_targets = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    sources = sources.withColumn("parties", F.lit(n_sources)).withColumn("all_targets", F.lit(all_targets))
+    sources = stored(apportion(sources, [], "place", "target", "all_targets", "parties", "blocks", "quota"), "sources")
+    few = n_sources <= BROADCAST_SOURCES
     of = sources.select(F.col("source").alias("_source"), "place", "n_shards", "source_size", "target", "quota")
     placed = sized.join(F.broadcast(of) if few else of, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("n_shards")))
 
-    shards = placed.groupBy("place", "shard", "quota").agg(F.sum("size").alias("words"))
-    shards = apportion(shards, ["place"], "shard", "words", "quota", "blocks").select(
+    shards = placed.groupBy("place", "shard", "quota", "source_size", "n_shards").agg(F.sum("size").alias("words"))
+    shards = apportion(shards, ["place"], "shard", "words", "source_size", "n_shards", "quota", "blocks")
+    shards = stored(shards, "shards").select(
         F.col("place").alias("_place"), F.col("shard").alias("_shard"), "words", F.least(F.col("blocks") * block_words, F.col("words") * max_repeats).alias("take")
     )
     run = Window.partitionBy("place", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -90,11 +90,30 @@ def test_apportionment_against_highest_quotients(spark):
     for g in range(40):
         votes = [rng.choice([0.0, 1.0, 3.0, rng.random() * 10, rng.random() * 1000]) for _ in range(rng.randrange(1, 9))]
         groups.append((votes, rng.randrange(0, 60) if sum(votes) else 0))
-    rows = [(g, i, v, n) for g, (votes, n) in enumerate(groups) for i, v in enumerate(votes)]
-    df = spark.createDataFrame(rows, "g int, i int, v double, n long")
-    found = {(r.g, r.i): r.won for r in apportion(df, ["g"], "i", "v", "n", "won").collect()}
+    rows = [(g, i, v, n, sum(votes), len(votes)) for g, (votes, n) in enumerate(groups) for i, v in enumerate(votes)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, n long, of double, m int").repartition(5)
+    found = {(r.g, r.i): r.won for r in apportion(df, ["g"], "i", "v", "of", "m", "n", "won").collect()}
     for g, (votes, n) in enumerate(groups):
         assert [found[g, i] for i in range(len(votes))] == quotients(votes, n)
+    votes, n = groups[0][0] + groups[1][0] + [0.0, 5.0, 5.0], 37
+    whole = spark.createDataFrame([(i, v, n, sum(votes), 99) for i, v in enumerate(votes)], "i int, v double, n long, of double, m int").repartition(5)
+    assert [r.won for r in sorted(apportion(whole, [], "i", "v", "of", "m", "n", "won").collect())] == quotients(votes, n)
+    assert apportion(whole.limit(0), [], "i", "v", "of", "m", "n", "won").count() == 0
+
+
+def test_no_task_gathers_all_sources_or_shards(spark):
+    """Many sources: windows are over runs of sorted partitions alone, whose number the partitions bound."""
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('w ', cast(id % 9 as int)) text", "concat('s', id % 1000) source").repartition(6)
+    out = mix(docs, shard_docs=2).collect()
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.source] += r.size
+    want = dealt_anew(sizes)
+    assert all(r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-9) and r.source_size == sizes[r.source] for r in out)
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 64 * 3 for s, t in want.items())
 
 
 def dealt_anew(sizes):
