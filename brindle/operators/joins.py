@@ -15,6 +15,8 @@ from brindle.tables import KEYS
 STRATEGIES = {None: None, "merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast"}
 #: A broadcast hint is only given to inputs that Spark estimates at no more than this.
 BROADCAST_BYTES = 64 << 20
+#: alias.column = alias.column
+EQUALITY = re.compile(r"\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*")
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -30,9 +32,15 @@ def _hinted(df: DataFrame, strategy: str | None) -> DataFrame:
 
 
 def hash_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], strategy: str | None = None) -> DataFrame:
-    """Inner equi-join on pairs of columns (left, right); NULL keys join nothing. Both key columns are kept."""
-    on = reduce(lambda a, b: a & b, (left[a] == right[b] for a, b in keys))
-    return left.join(_hinted(right, strategy), on, "inner")
+    """Inner equi-join on pairs of columns (left, right); NULL keys join nothing. Both key columns are kept.
+
+    The keys are copied under names of their own first, so a table can be joined with itself on any columns.
+    """
+    mine = left.withColumns({f"_left_{k}": F.col(a) for k, (a, _) in enumerate(keys)})
+    other = right.withColumns({f"_right_{k}": F.col(b) for k, (_, b) in enumerate(keys)})
+    copies = [(f"_left_{k}", f"_right_{k}") for k in range(len(keys))]
+    on = reduce(lambda a, b: a & b, (F.col(a) == F.col(b) for a, b in copies))
+    return mine.join(_hinted(other, strategy), on, "inner").drop(*(c for pair in copies for c in pair))
 
 
 def cross_product(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -60,7 +68,7 @@ def _growth(n: str, bound: set[str], predicates: Sequence[str], unique: Collecti
         if n not in t or len(t) < 2:
             continue
         out = min(out, 2)
-        if sides := re.fullmatch(r"\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*", p):
+        if sides := EQUALITY.fullmatch(p):
             a, x, b, y = sides.groups()
             mine, other = ((a, x), (b, y)) if a == n else ((b, y), (a, x))
             single = lambda c: c[1] in unique or ".".join(c) in unique
@@ -81,12 +89,52 @@ def join_order(names: Sequence[str], predicates: Sequence[str], size: Mapping[st
     return order
 
 
+def statistics(inputs: Mapping[str, DataFrame], predicates: Sequence[str]) -> dict[str, tuple[int, dict[str, int]]]:
+    """By alias, the rows and the distinct values of each column that an equality uses, measured in one job."""
+    columns: dict[str, set[str]] = {n: set() for n in inputs}
+    for sides in filter(None, map(EQUALITY.fullmatch, predicates)):
+        for n, c in (sides.group(1, 2), sides.group(3, 4)):
+            columns.get(n, set()).add(c)
+    wanted = {n: sorted(c) for n, c in columns.items()}
+    counts = [
+        df.agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("rows"), F.array(*(F.approx_count_distinct(F.col(f"{n}.{c}")) for c in wanted[n])).cast("array<long>").alias("values"))
+        for n, df in inputs.items()
+    ]
+    return {r["n"]: (r["rows"], dict(zip(wanted[r["n"]], r["values"], strict=True))) for r in reduce(DataFrame.unionByName, counts).collect()}
+
+
+def measured_order(names: Sequence[str], predicates: Sequence[str], stats: Mapping[str, tuple[int, Mapping[str, int]]], prefix: Sequence[str] = ()) -> list[str]:
+    """``prefix``, then always the table whose join makes the fewest rows by the measured numbers; tables that no
+    predicate connects come last. An equality keeps one in as many pairs as its richer side has values, any other
+    predicate one in three."""
+
+    def rows(n: str, bound: Sequence[str], before: float) -> tuple[bool, float, int]:
+        keep, connected = 1.0, not bound
+        for p in predicates:
+            t = tables_of(p, [n, *bound])
+            if n in t and len(t) > 1:
+                connected = True
+                sides = EQUALITY.fullmatch(p)
+                keep /= max(1, *(stats[a][1].get(c, 1) for a, c in (sides.group(1, 2), sides.group(3, 4)))) if sides else 3
+        return not connected, before * stats[n][0] * keep, names.index(n)
+
+    order, so_far = [], 1.0
+    for k in range(len(names)):
+        left = [n for n in names if n not in order]
+        n = prefix[k] if k < len(prefix) else min(left, key=lambda n: rows(n, order, so_far))
+        so_far = rows(n, order, so_far)[1]
+        order.append(n)
+    return order
+
+
 def multiway_join(
-    tables: Mapping[str, DataFrame], predicates: Sequence[str], prefix: Sequence[str] = (), strategy: str | None = None, unique: Collection[str] = KEYS
+    tables: Mapping[str, DataFrame], predicates: Sequence[str], prefix: Sequence[str] = (), strategy: str | None = None, unique: Collection[str] = KEYS, measure: bool = False
 ) -> DataFrame:
     """N-way inner join on SQL predicates over aliased tables (``a.x = b.y``, theta and OR forms included).
 
     ``unique`` names columns without repeated values (``column`` or ``alias.column``); it guides the order alone.
+    With ``measure`` the order follows rows and distinct values that a job counts in the filtered tables first: worth a
+    pass over them where filters such as LIKE, or skewed keys, mislead the estimates from file sizes.
 
     Predicates on one table filter it before any join. Each other one is attached as soon as all its tables are
     bound, so equalities become join keys. Columns stay reachable as ``alias.column``.
@@ -97,9 +145,12 @@ def multiway_join(
     for n, df in tables.items():
         own = [p for p, t in refs if t == {n}]
         inputs[n] = reduce(lambda d, p: d.filter(F.expr(p)), own, df.alias(n))
-    size = {n: estimated_bytes(df) for n, df in inputs.items()}
     shared = [(p, t) for p, t in refs if len(t) != 1]
-    order = join_order(names, [p for p, _ in shared], size, prefix, unique)
+    across = [p for p, _ in shared]
+    if measure:
+        order = measured_order(names, across, statistics(inputs, across), prefix)
+    else:
+        order = join_order(names, across, {n: estimated_bytes(df) for n, df in inputs.items()}, prefix, unique)
     out, bound = inputs[order[0]], {order[0]}
     for n in order[1:]:
         bound.add(n)

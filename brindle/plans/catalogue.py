@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle import functions as E
 from brindle.operators import (
-    aggregate, cross_product, group_by_aggregate, hash_join, multiway_join, order_by, output, project, scalar_cross, scan, scan_select, select, vector_select,
+    aggregate, cross_product, group_by_aggregate, hash_join, multiway_join, numbered, order_by, output, project, ranked, scalar_cross, scan, scan_select, select, vector_select,
 )
-from brindle.plans.job import star_by_sql, star_sql
+from brindle.plans.job import star, star_by_sql, star_sql
 from brindle.scratch import shared_path
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
 from brindle.tables import Database
@@ -79,6 +79,15 @@ def delimited_round_trip(db: Database) -> DataFrame:
     return scan(read_delimited(db.spark, path, "nation"), ["n_nationkey", "n_name", "n_comment"])
 
 
+@query("SELECT p_partkey, concat('\"', p_name, '|\\', p_type) AS odd, CASE WHEN p_size < 25 THEN '' END AS blank, p_size, p_retailprice, p_size > 9 AS big FROM part")
+def delimited_escapes(db: Database) -> DataFrame:
+    """Quotes, separators, backslashes, empty and NULL text, and other types, written and read again."""
+    odd, blank = F.concat(F.lit('"'), "p_name", F.lit("|\\"), "p_type"), F.when(F.col("p_size") < 25, "")
+    path, size = shared_path(db.spark, "escapes"), E.col_ref("p_size")
+    write_delimited(project(db["part"], {"p_partkey": "p_partkey", "odd": odd, "blank": blank, "p_size": size, "p_retailprice": "p_retailprice", "big": E.gt(size, E.lit(9))}), path)
+    return read_delimited(db.spark, path, "p_partkey long, odd string, blank string, p_size int, p_retailprice double, big boolean")
+
+
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey < 100")
 def columnar_round_trip(db: Database) -> DataFrame:
     path = shared_path(db.spark, "columnar")
@@ -246,6 +255,13 @@ def hash_join_date(db: Database) -> DataFrame:
     return hash_join(left, right, [("o_orderkey", "l_orderkey"), ("o_orderdate", "l_shipdate")], "shuffle_hash").select("o_orderkey", "l_linenumber")
 
 
+@query("SELECT a.c_name AS name, b.c_name AS other FROM customer a, customer b WHERE a.c_custkey = b.c_nationkey")
+def hash_join_self(db: Database) -> DataFrame:
+    """A table with itself on two different columns."""
+    c = scan(db["customer"], ["c_custkey", "c_nationkey", "c_name"])
+    return hash_join(c.alias("a"), c.alias("b"), [("c_custkey", "c_nationkey")]).select(F.col("a.c_name").alias("name"), F.col("b.c_name").alias("other"))
+
+
 @query(f"SELECT a.c_custkey AS x, count(*) AS n FROM ({NULLED}) a, ({NULLED}) b WHERE a.seg = b.seg AND b.c_custkey < 40 GROUP BY 1")
 def join_null_keys(db: Database) -> DataFrame:
     few = select(_nulled(db), F.col("c_custkey") < 40)
@@ -381,13 +397,30 @@ def group_by_having(db: Database) -> DataFrame:
 def order_null_largest(db: Database) -> DataFrame:
     """Places in either order of the few distinct segments."""
     segs = group_by_aggregate(_nulled(db), {"seg": "seg"}, {})
-    up, down = Window.orderBy(F.col("seg").asc_nulls_last()), Window.orderBy(F.col("seg").desc_nulls_first())
-    return segs.select("seg", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"))
+    up, down = (numbered(order_by(segs, [("seg", asc)]), "n") for asc in (True, False))
+    return up.alias("up").join(down.alias("down"), F.col("up.seg").eqNullSafe(F.col("down.seg"))).select("up.seg", F.col("up.n").alias("up"), F.col("down.n").alias("down"))
 
 
-@query("SELECT s_nationkey, s_acctbal, s_name FROM supplier")
+@query("SELECT s_nationkey, s_acctbal, s_name, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_name) AS place FROM supplier")
 def order_by_many(db: Database) -> DataFrame:
-    return order_by(db["supplier"].select("s_nationkey", "s_acctbal", "s_name"), [("s_nationkey", True), ("s_acctbal", False), ("s_name", True)])
+    return numbered(order_by(db["supplier"].select("s_nationkey", "s_acctbal", "s_name"), [("s_nationkey", True), ("s_acctbal", False), ("s_name", True)]), "place")
+
+
+@query(
+    """SELECT o_orderkey, row_number() OVER (ORDER BY big DESC NULLS FIRST, day, price DESC NULLS FIRST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN o_totalprice > 100000 END AS big,
+    CAST(o_orderdate AS DATE) AS day, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice END AS price FROM orders) t"""
+)
+def order_by_types(db: Database) -> DataFrame:
+    """Booleans and doubles with NULLs, descending, dates and longs ascending."""
+    big, price = F.when(F.col("o_custkey") % 5 > 0, F.col("o_totalprice") > 100000), F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice"))
+    rows = project(db["orders"], {"o_orderkey": "o_orderkey", "big": big, "day": "o_orderdate", "price": price})
+    return numbered(order_by(rows, [("big", False), ("day", True), ("price", False), ("o_orderkey", True)]), "place").select("o_orderkey", "place")
+
+
+@query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
+def order_in_groups(db: Database) -> DataFrame:
+    """Places in the few large groups, each of which is sorted by many tasks."""
+    return ranked(db["customer"], ["c_mktsegment"], [F.col("c_acctbal").desc(), F.col("c_custkey")], "place").select("c_mktsegment", "c_custkey", "place")
 
 
 # SQL entry
@@ -396,3 +429,11 @@ def order_by_many(db: Database) -> DataFrame:
 @query(star_sql("job_six_tables_cycle"))
 def sql_entry(db: Database) -> DataFrame:
     return star_by_sql(db, "job_six_tables_cycle")
+
+
+def _by_strategy(strategy: str | None) -> Plan:
+    return lambda db: star(db, "job_five_tables_or", strategy=strategy, measure=strategy is None)
+
+
+for _name, _strategy in {"merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast", "measured": None}.items():
+    PLANS[f"strategy_{_name}"], SQL[f"strategy_{_name}"] = _by_strategy(_strategy), star_sql("job_five_tables_or")

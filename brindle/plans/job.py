@@ -55,10 +55,10 @@ def star_sql(name: str) -> str:
     return f"SELECT {chosen} FROM {', '.join(f'{t} AS {a}' for a, t in tables.items())} WHERE {' AND '.join(f'({p})' for p in predicates)}"
 
 
-def star(db: Database, name: str, prefix: tuple[str, ...] = (), strategy: str | None = None) -> DataFrame:
+def star(db: Database, name: str, prefix: tuple[str, ...] = (), strategy: str | None = None, measure: bool = False) -> DataFrame:
     """The query as one multi-way join under a keyless aggregate."""
     tables, predicates, outputs = STARS[name]
-    joined = multiway_join({a: db[t] for a, t in tables.items()}, predicates, prefix, strategy)
+    joined = multiway_join({a: db[t] for a, t in tables.items()}, predicates, prefix, strategy, measure=measure)
     return aggregate(joined, {n: F.min(e) for n, e in outputs.items()})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import and_, case, contains, date, extract_year, or_, starts_with
-from brindle.operators import aggregate, group_by_aggregate, multiway_join, order_by, scalar_cross, scan, scan_select, select
+from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, order_by, scalar_cross, scan, scan_select, select
 from brindle.tables import KEYS, Database
 
 MONEY = "l_extendedprice * (1 - l_discount)"
@@ -57,17 +57,12 @@ def _regional(db: Database, region: str) -> DataFrame:
 
 
 def q02(db: Database) -> DataFrame:
-    offers = multiway_join(
-        {"l": scan(db["lineitem"], ["l_partkey", "l_suppkey", "l_extendedprice"]), "s": _regional(db, "MIDDLE EAST")},
-        ["l.l_suppkey = s.s_suppkey"],
-    )
+    """A tree of hash joins: regional offers, the least offer for each part, and the part."""
+    offers = hash_join(scan(db["lineitem"], ["l_partkey", "l_suppkey", "l_extendedprice"]), _regional(db, "MIDDLE EAST"), [("l_suppkey", "s_suppkey")])
     least = group_by_aggregate(offers, {"m_partkey": "l_partkey"}, {"m_price": F.min("l_extendedprice")})
-    best = multiway_join(
-        {"o": offers, "m": least, "p": scan(db["part"], ["p_partkey", "p_name"])},
-        ["o.l_partkey = m.m_partkey", "o.l_extendedprice = m.m_price", "p.p_partkey = o.l_partkey"],
-        unique={*KEYS, "m_partkey"},
-    )
-    out = best.select("s_acctbal", "s_name", "n_name", "p_partkey", "p_name", F.col("m_price").alias("price"))
+    best = hash_join(offers, least, [("l_partkey", "m_partkey"), ("l_extendedprice", "m_price")])
+    named = hash_join(best, scan(db["part"], ["p_partkey", "p_name"]), [("l_partkey", "p_partkey")])
+    out = named.select("s_acctbal", "s_name", "n_name", "p_partkey", "p_name", F.col("m_price").alias("price"))
     return order_by(out, [("s_acctbal", False), ("n_name", True), ("s_name", True), ("p_partkey", True)])
 
 

@@ -36,7 +36,7 @@ def movies(spark, tmp_path_factory):
         with open(root / f"{table}.csv", "w", newline="") as f:
             out = csv.writer(f, quoting=csv.QUOTE_STRINGS, escapechar="\\", doublequote=False)
             out.writerows([[value(rng, c, k, i) for c, k in columns] for i in range(n)])
-        write_columnar(read_delimited(spark, str(root / f"{table}.csv"), table, sep=",", escape="\\"), str(root / f"{table}.parquet"))
+        write_columnar(read_delimited(spark, str(root / f"{table}.csv"), table, sep=","), str(root / f"{table}.parquet"))
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet/*.parquet'")
     return Database(spark, str(root), tables=MOVIE_SCHEMAS), con
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle import functions as E
 from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, numbered, order_by, output, ranked, scan_select, select, vector_select
-from brindle.operators.joins import join_order, tables_of
+from brindle.operators.joins import join_order, measured_order, statistics, tables_of
 from brindle.plans import catalogue
 from brindle.plans.inspect import plan_json, plan_text
 from brindle.plans.sql import run_sql, statements
@@ -137,6 +137,39 @@ def test_hash_join_by_type(info, key, strategy):
     assert hash_join(info, other, [(key, "k")], strategy).count() == want
 
 
+@pytest.mark.parametrize("strategy", [None, "merge", "shuffle_hash", "broadcast"])
+def test_self_join_on_two_columns(spark, strategy):
+    """Ids, names and managers of one table: every pair that a loop finds, with the columns of both sides in reach."""
+    data = [(k, f"n{k}", None if k % 4 == 0 else k // 2) for k in range(40)] + [(None, "none", 3)]
+    df = spark.createDataFrame(data, "id int, name string, boss int")
+    want = sorted((a[1], b[1]) for a in data for b in data if a[2] is not None and a[2] == b[0])
+    out = hash_join(df.alias("a"), df.alias("b"), [("boss", "id")], strategy).select("a.name", F.col("b.name").alias("boss_name"))
+    assert got(out) == sorted(want, key=repr)
+    assert hash_join(df, df, [("boss", "id"), ("id", "id")], strategy).columns == ["id", "name", "boss"] * 2
+
+
+@pytest.mark.parametrize("strategy", [None, "merge", "shuffle_hash", "broadcast"])
+def test_multiway_join_by_strategy(info, strategy):
+    t, preds = {"a": info, "b": info, "c": info}, ["a.id = b.id", "b.cheated = c.cheated", "c.num1 < 5"]
+    one = got(multiway_join(t, preds).select("a.id", "b.id", "c.id"))
+    assert one and got(multiway_join(t, preds, strategy=strategy).select("a.id", "b.id", "c.id")) == one
+
+
+def test_measured_statistics_lead_the_order(spark):
+    """A filter that file sizes do not show: the table it leaves small comes first, and the many-to-many join last."""
+    big = spark.range(5000).selectExpr("id", "id % 50 k", "id % 3 hot", "concat('name', id) name")
+    small = spark.range(300).selectExpr("id", "id % 50 k")
+    many = spark.range(4000).selectExpr("id % 3 hot")
+    t = {"m": many, "b": big, "s": small}
+    preds = ["b.name LIKE '%99%'", "b.id = s.id", "m.hot = b.hot"]
+    inputs = {"m": many.alias("m"), "b": big.where("name LIKE '%99%'").alias("b"), "s": small.alias("s")}
+    stats = statistics(inputs, preds)
+    assert stats["b"][0] == 95 and stats["m"][0] == 4000 and stats["m"][1] == {"hot": 3} and set(stats["b"][1]) == {"id", "hot"}
+    assert measured_order(["m", "b", "s"], preds[1:], stats) == ["b", "s", "m"]
+    assert measured_order(["m", "b", "s"], preds[1:], stats, ("m",))[0] == "m"
+    assert got(multiway_join(t, preds, measure=True).select("b.id", "m.hot")) == got(multiway_join(t, preds).select("b.id", "m.hot"))
+
+
 def test_multiway_join_orders_give_one_result(info):
     t = {"a": info, "b": info, "c": info, "d": info}
     preds = ["a.id = b.id", "b.cheated = c.cheated", "c.num1 < d.num1", "a.num1 >= 0", "a.id + c.id > d.id"]
@@ -185,11 +218,31 @@ def test_null_keys_of_whole_tables(spark, tmp_path):
 
 
 def test_delimited_round_trip(spark, tmp_path, info):
-    (tmp_path / "people.tbl").write_text('1|Ann|\n2|"a|b"|\n3||\n|"say ""hi"""|\n')
+    lines = ["1|Ann|", r'2|"a|b"|', "3||", "", r'|"say \"hi\" | x"|', "5|", '6|""|', r'7|"back\\"|', r"8|plain \\ \"q|", '9|"open', "10|\"ab\"cd|"]
+    (tmp_path / "people.tbl").write_text("\n".join(lines) + "\n")
     people = read_delimited(spark, str(tmp_path / "people.tbl"), "people")
-    assert [tuple(r) for r in people.collect()] == [(1, "Ann"), (2, "a|b"), (3, None), (None, 'say "hi"')]
+    want = [(1, "Ann"), (2, "a|b"), (3, None), (None, 'say "hi" | x'), (5, None), (6, ""), (7, "back\\"), (8, 'plain \\ "q'), (9, '"open'), (10, '"ab"cd')]
+    assert [tuple(r) for r in people.collect()] == want
+    (tmp_path / "doubled.tbl").write_text('1|"say ""hi"" | x"|\n2|a\\b|\n')
+    assert [tuple(r) for r in read_delimited(spark, str(tmp_path / "doubled.tbl"), "people", escape='"').collect()] == [(1, 'say "hi" | x'), (2, "a\\b")]
     write_delimited(info, str(tmp_path / "out"))
     assert got(read_delimited(spark, str(tmp_path / "out"), "info")) == got(info)
+    texts = ["", None, "|", '"', "\\", '\\"', 'a"|"b', "\\n", " lead", "x" * 100_000 + '"', "é|中"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "id int, name string")
+    write_delimited(odd, str(tmp_path / "odd"))
+    assert got(read_delimited(spark, str(tmp_path / "odd"), "people")) == got(odd)
+
+
+@pytest.mark.parametrize("line, problem", [("12x|Ann|", "id is no int: 12x"), ("1|Ann|more|", "not 2 fields"), ("1", "not 2 fields"), ("99999999999|x", "id is no int")])
+def test_malformed_lines_fail(spark, tmp_path, line, problem):
+    (tmp_path / "people.tbl").write_text(f"1|fine|\n{line}\n")
+    with pytest.raises(Exception, match=problem):
+        read_delimited(spark, str(tmp_path / "people.tbl"), "people").collect()
+
+
+def test_line_end_in_a_value_cannot_be_written(spark, tmp_path):
+    with pytest.raises(Exception, match="line end"):
+        write_delimited(spark.createDataFrame([(1, "a\nb")], "id int, name string"), str(tmp_path / "x"))
 
 
 def test_columnar_round_trip(spark, tmp_path, info):

@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
-from brindle.plans import catalogue, job, tpch
+from brindle.plans import catalogue, job, movies, skew, tpch
 
-NAMES = [*tpch.PLANS, *tpch.MORE, *job.PLANS, *catalogue.PLANS]
+NAMES = [*tpch.PLANS, *tpch.MORE, *job.PLANS, *catalogue.PLANS, *skew.PLANS, *movies.PLANS]
 
 
 @pytest.mark.parametrize("name", NAMES)
