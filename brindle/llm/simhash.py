@@ -103,9 +103,9 @@ def _meeting(x: Column, y: Column, k: int) -> Column:
     """The one set of k - 3 subspaces, as bits, in which two points within reach are compared: the last that agree."""
     differ = x.bitwiseXOR(y)
     agree = sum((F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(_masks(k))), F.lit(0))
-    for _ in range(DISTANCE):
-        agree = F.when(F.bit_count(agree) > k - DISTANCE, agree.bitwiseAND(agree - 1)).otherwise(agree)
-    return agree
+    # Once for each subspace that a pair within reach may differ in, without writing the expression again each time.
+    drop = lambda m, _: F.when(F.bit_count(m) > k - DISTANCE, m.bitwiseAND(m - 1)).otherwise(m)
+    return F.aggregate(F.array(*[F.lit(0)] * DISTANCE), agree, drop)
 
 
 def _forests(pdf: pd.DataFrame) -> pd.DataFrame:
