@@ -115,6 +115,15 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values, at least doubled where it lacks it."""
+    if size <= len(a):
+        return a
+    out = np.zeros(max(int(size), 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Scorer(dict):
     """Scores texts. A word's value is its row where the model knows it, and -1 - k for the k-th unseen word met."""
 
@@ -126,23 +135,27 @@ class Scorer(dict):
     def forget(self) -> None:
         self.clear()
         self.update(self.known)
-        self.length, self.rows, self.ends = [], [], [0]
-        self.arrays = None
+        self.unseen = 0
+        #: Of unseen words: the length of their n-grams, where these end, and their rows in the model.
+        self.length, self.ends, self.rows = np.zeros(1024, np.int8), np.zeros(1025, np.int64), np.zeros(8192, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        for w in words:
-            n, found = self.model.grams(w)
-            self[w] = -1 - len(self.length)
-            self.length.append(n)
-            self.rows += found
-            self.ends.append(len(self.rows))
-        self.arrays = None
+        found = [self.model.grams(w) for w in words]
+        start, end = self.unseen, self.unseen + len(words)
+        at = self.ends[start]
+        sizes = np.array([len(rows) for _, rows in found], np.int64)
+        self.length = _grown(self.length, end)
+        self.ends = _grown(self.ends, end + 1)
+        self.rows = _grown(self.rows, at + sizes.sum())
+        self.length[start:end] = [n for n, _ in found]
+        self.ends[start + 1 : end + 1] = at + np.cumsum(sizes)
+        self.rows[at : at + sizes.sum()] = np.fromiter((r for _, rows in found for r in rows), np.int32, int(sizes.sum()))
+        self.update(zip(words, range(-1 - start, -1 - end, -1), strict=True))
+        self.unseen = end
 
     def _sum(self, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
         """By language: the log frequencies of known words, and the mean ones of unseen words' n-grams."""
-        if self.arrays is None:
-            self.arrays = np.array(self.length, np.int64), np.array(self.rows, np.int64), np.array(self.ends, np.int64)
-        length, rows, ends = self.arrays
+        length, rows, ends = self.length, self.rows, self.ends
         m, seen = self.model, ids >= 0
         new, often = -1 - ids[~seen], times[~seen]
         sizes = ends[new + 1] - ends[new]
@@ -161,7 +174,7 @@ class Scorer(dict):
         n = found.total()
         if not self.model.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0, n, 0
-        if len(self.length) > REMEMBERED:
+        if self.unseen > REMEMBERED:
             self.forget()
         ids = list(map(self.get, found))
         if None in ids:

@@ -1,19 +1,31 @@
 """Query of the rule ledger, and its SQL."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm.common import table
-from brindle.llm.rules import BASE, STRICT, apply_policy, failed, rule_ledger
+from brindle.llm.common import stored, table
+from brindle.llm.rules import BASE, RULES, STRICT, ablation, apply_policy, failed, rule_ledger
 
 
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger(table(spark, sf_dir, "documents"))
+    """The texts are read once, for the ledger; both policies then read the stored ledger alone."""
+    ledger = stored(rule_ledger(table(spark, sf_dir, "documents")), "ledger")
     return apply_policy(ledger, STRICT).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed(BASE).alias("base_failed"), "kept", "rule_bits"
     )
 
 
-SQL = r"""
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in each policy, from one stored ledger."""
+    ledger = stored(rule_ledger(table(spark, sf_dir, "documents")), "ledger")
+    parts = (ablation(ledger, p).withColumns({"policy": F.lit(p.name), "policy_version": F.lit(p.version)}) for p in (BASE, STRICT))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Up to the bits of every document.
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -40,10 +52,23 @@ WITH d AS (
     + 16 * (10 * n_symbols > 3 * n_words)::INT + 32 * (10 * n_dup_lines > 7 * n_lines)::INT AS BIGINT) AS rule_bits
   FROM m
 )
+"""
+
+SQL = LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (rule_bits & 3) <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits
 FROM b
 """
 
-QUERIES = {"op4_rule_ledger": op4_rule_ledger}
-ORACLES = {"op4_rule_ledger": SQL}
+ABLATION_SQL = LEDGER_SQL + f"""
+, r AS (
+  SELECT * FROM (VALUES {", ".join(f"('{p.name}', {p.version}, {p.mask(RULES)}, '{r.name}', {1 << k})" for p in (BASE, STRICT) for k, r in enumerate(RULES) if p.mask(RULES) >> k & 1)})
+    v(policy, policy_version, mask, rule, bit)
+)
+SELECT policy, policy_version, rule, count(*) FILTER ((rule_bits & bit) <> 0) AS fails, count(*) FILTER ((rule_bits & mask) = bit) AS fails_alone,
+       count(*) FILTER ((rule_bits & mask) = 0) AS kept, count(*) FILTER ((rule_bits & mask) = 0 OR (rule_bits & mask) = bit) AS kept_without
+FROM b, r GROUP BY policy, policy_version, rule
+"""
+
+QUERIES = {"op4_rule_ledger": op4_rule_ledger, "rule_ablation": rule_ablation}
+ORACLES = {"op4_rule_ledger": SQL, "rule_ablation": ABLATION_SQL}

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_path, table
-from brindle.llm.warc import base32, page_key, records, register
+from brindle.llm.warc import base32, load, page_key, records, register, write
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,13 +14,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     register(spark)
     path = shared_path(spark, "warc")
-    records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    write(records(table(spark, sf_dir, "pages")), path)
     # Spark keeps the filters that a source took over with its load: each branch loads anew.
-    read = spark.read.format("warc").load(path).where("warc_type = 'response'").select(
+    read = load(spark, path).where("warc_type = 'response'").select(
         page_key("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
     )
-    again = spark.read.format("warc").load(path).where("warc_type = 'revisit'").select(
+    again = load(spark, path).where("warc_type = 'revisit'").select(
         page_key("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page_key("refers_to").alias("refers_to")
     )
     return read.union(again)

@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +42,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import LongType, StructType
 
+from brindle.scratch import qualified
+
 SCHEMA = (
     "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, content_type string, "
     "payload_digest string, content_length long, payload_bytes long, payload binary"
@@ -97,7 +100,10 @@ def record(row: dict, date: str) -> bytes:
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """For paths with a scheme: the source's tasks and planner do not know the cluster's default file system."""
+    if ":/" not in path:
+        raise ValueError(f"give the archives' path with its scheme (scratch.qualified adds it): {path}")
+    return fs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -295,7 +301,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; reading: partition_bytes; writing: date (WARC-Date of every record), file_bytes."""
+    """Options: path; reading: partition_bytes; writing: date (WARC-Date of every record; by default when the writing
+    was planned), file_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -310,7 +317,7 @@ class WarcSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         if overwrite:
             raise ValueError("archives are only added to: use mode append")
-        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("file_bytes", 256 << 20)))
+        return WarcWriter(self.options["path"], self.options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), int(self.options.get("file_bytes", 256 << 20)))
 
 
 def register(spark: SparkSession) -> None:
@@ -319,28 +326,42 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+def write(made: DataFrame, path: str, **options: str) -> None:
+    """Adds the archives of ``records`` to a folder; a path without a scheme is in the default file system."""
+    made.write.format("warc").mode("append").options(**options).save(qualified(made.sparkSession, path))
+
+
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The records below a folder; a path without a scheme is in the default file system."""
+    return spark.read.format("warc").options(**options).load(qualified(spark, path))
+
+
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """A record per page, its payload the html in UTF-8 (null: empty).
+    """A record per page, its payload the html in UTF-8 (null: empty). No pages give no records.
 
     Of the pages with equal payloads of ``least_bytes`` or more, that with the largest key is the response and the
     others, also those with a null key, revisit it; rows that share the largest key are all responses, as are
-    all rows where no key is known. A payload's rows are only brought to its largest key by a join, which
-    adaptive execution splits where one payload is very common.
+    all rows where no key is known. Payloads are told apart by SHA-256 and length; the SHA-1 is the header's alone.
+
+    A record's id names its page and numbers the row, so rows with equal and null keys have ids of their own; a revisit
+    refers to one response's. The table must read alike each time (files, or stored first). A payload's rows are only
+    brought to its response by a join, which adaptive execution splits where one payload is very common.
     """
     body = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    p = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("target_uri"), body.alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    top = p.groupBy("sha", "n").agg(F.max("k").alias("top")).select(F.col("sha").alias("sha_"), F.col("n").alias("n_"), "top")
+    name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("none")), F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    p = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("target_uri"), body.alias("payload"), name.alias("record_id"))
+    p = p.withColumns({"sha": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
+    # Nulls are the least of keys, so the response has one if any row does.
+    top = p.groupBy("sha", "n").agg(F.max(F.struct("k", "record_id")).alias("top")).select(F.col("sha").alias("sha_"), F.col("n").alias("n_"), "top")
     # Only the digest is a key: a join on both columns would reuse the aggregate's partitioning, which cannot be split.
     all_ = p.join(top, (F.col("sha") == F.col("sha_")) & (F.col("n") <= F.col("n_")) & (F.col("n") >= F.col("n_")), "inner")
-    again = F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top")) & (F.col("n") >= least_bytes)
-    name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")))
+    again = F.col("top.k").isNotNull() & ~F.col("k").eqNullSafe(F.col("top.k")) & (F.col("n") >= least_bytes)
     return all_.select(
         F.when(again, "revisit").otherwise("response").alias("warc_type"),
-        name(F.col("k")).alias("record_id"),
+        "record_id",
         "target_uri",
-        F.when(again, name(F.col("top"))).alias("refers_to"),
-        base32(F.col("sha")).alias("payload_digest"),
+        F.when(again, F.col("top.record_id")).alias("refers_to"),
+        base32(F.sha1("payload")).alias("payload_digest"),
         F.col("n").alias("payload_bytes"),
         F.when(~again, F.col("payload")).alias("payload"),
     )
@@ -355,4 +376,4 @@ def base32(sha1_hex: Column) -> Column:
 
 def page_key(name: str) -> Column:
     """The key in a record id of ``records``; null where it has none."""
-    return F.nullif(F.regexp_extract(F.col(name), r"^urn:x-page:(-?\d+)$", 1), F.lit("")).cast(LongType())
+    return F.nullif(F.regexp_extract(F.col(name), r"^urn:x-page:(-?\d+)-\d+$", 1), F.lit("")).cast(LongType())

@@ -17,7 +17,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op2_source_mix", "op4_rule_ledger", "op8_shard_lookup"])
+@pytest.mark.parametrize("name", ["op2_source_mix", "op4_rule_ledger", "op8_shard_lookup", "rule_ablation"])
 def test_query_equals_sql(name, spark, sf_dir, same):
     same(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from brindle.llm import bpe, training_order, warc
-from brindle.llm.common import shared_path
+from brindle.llm.common import shared_path, stored
 from brindle.llm.queries_bpe import digests
 from brindle.llm.training_order import Feistel, layout, materialise, read, read_manifest, shard_records
 
@@ -235,8 +235,32 @@ def test_query_equals_sql(spark, sf_dir, same):
 def test_no_pages(spark, pages):
     warc.register(spark)
     path = shared_path(spark, "none")
-    warc.records(pages.limit(0)).write.format("warc").mode("append").save(path)
-    assert spark.read.format("warc").load(path).count() == 0
+    warc.write(warc.records(pages.limit(0)), path)
+    assert warc.load(spark, path).count() == 0
+
+
+def test_every_record_has_an_id_of_its_own(spark, pages, tmp_path):
+    """Also rows with equal and null keys; each revisit refers to a response with its payload, in the archive."""
+    warc.register(spark)
+    pages = stored(pages, "pages")
+    warc.write(warc.records(pages), str(tmp_path / "bare"), date="2024-05-06T07:08:09Z")
+    rows = warc.load(spark, str(tmp_path / "bare")).collect()
+    ids = {r.record_id: r for r in rows}
+    assert len(ids) == len(rows) == len(PAGES) and {r.warc_date for r in rows} == {"2024-05-06T07:08:09Z"}
+    for r in rows:
+        assert r.warc_type != "revisit" or (ids[r.refers_to].warc_type, ids[r.refers_to].payload_digest) == ("response", r.payload_digest)
+    warc.write(warc.records(pages), str(tmp_path / "now"))
+    (date,) = {r.warc_date for r in warc.load(spark, str(tmp_path / "now")).collect()}
+    assert date[:4] > "2023"
+
+
+def test_path_without_a_scheme_is_refused_by_the_source(spark, pages, tmp_path):
+    """The source cannot tell which file system is meant; the helpers, which can, add it."""
+    warc.register(spark)
+    with pytest.raises(Exception, match="scheme"):
+        spark.read.format("warc").load(str(tmp_path)).count()
+    with pytest.raises(Exception, match="scheme"):
+        warc.records(pages).write.format("warc").mode("append").save(str(tmp_path))
 
 
 def test_filters_are_pushed_and_payloads_skipped(spark, pages, tmp_path, monkeypatch):
@@ -270,7 +294,7 @@ def test_foreign_archives(spark, tmp_path):
     (tmp_path / "empty.warc").write_bytes(b"")
     (tmp_path / "notes.txt").write_text("no archive")
     for test, want in (("true", [0, 0, 5, 5, 70_000, 70_000]), ("warc_type = 'resource'", [0, 0, 70_000, 70_000])):
-        assert sorted(r.payload_bytes for r in spark.read.format("warc").load(str(tmp_path)).where(test).collect()) == want
+        assert sorted(r.payload_bytes for r in warc.load(spark, str(tmp_path)).where(test).collect()) == want
     ours = warc.member(b"x" * 1000)
     assert gzip.GzipFile(fileobj=io.BytesIO(ours)).read() == b"x" * 1000 and struct.unpack("<I", ours[16:20])[0] == len(ours)
 
