@@ -15,6 +15,7 @@ of them count. Files that it does not name are left by lost attempts.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import small_batches
+from brindle.llm.common import give_back, small_batches
 from brindle.scratch import qualified
 
 #: Bytes of a record before its ids: key (8), part of the text (4), ids that count (4).
@@ -247,15 +248,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
-def read(manifest: DataFrame, path: str, form: Layout, start: int = 0) -> DataFrame:
+def read(manifest: DataFrame, path: str, form: Layout, start: int = 0, digest: bool = False) -> DataFrame:
     """Records from slot ``start`` on: slot, shard, doc_id, part, n_tokens, ids (without padding). Files before it are
-    not opened; each task goes through its files in sequence."""
+    not opened; each task goes through its files in sequence. With ``digest``, ``ids_crc32`` stands for ``ids``: the
+    CRC-32 of the decimal ids joined by one space, so that checks of whole shards need not move the ids."""
     path = qualified(manifest.sparkSession, path)
     left = manifest.where(F.col("first_slot") + F.col("n_records") > start)
     record = np.dtype([("k", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", form.kind, (form.seq_len,))])
+    last = "ids_crc32" if digest else "ids"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = _place(path)
+        texts = pa.array([f" {k}".encode() for k in range(form.pad + 1)], pa.large_binary()) if digest else None
+
+        def digests(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+            joined = texts.take(pa.array(ids))
+            at = np.frombuffer(joined.buffers()[1], np.int64)[ends].tolist()
+            data = memoryview(joined.buffers()[2])
+            return pa.array([zlib.crc32(data[a + 1 : b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+
         for batch in batches:
             for m in batch.to_pylist():
                 skip = max(0, start - m["first_slot"])
@@ -264,17 +275,14 @@ def read(manifest: DataFrame, path: str, form: Layout, start: int = 0) -> DataFr
                     slot = m["first_slot"] + skip
                     while data := f.read(4096 * form.stride):
                         r = np.frombuffer(data, record)
-                        counted = np.arange(form.seq_len) < r["n"][:, None]
-                        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(r["n"])]), pa.int32()), pa.array(r["ids"][counted].astype(np.int32)))
+                        ids = r["ids"][np.arange(form.seq_len) < r["n"][:, None]]
+                        ends = np.concatenate([[0], np.cumsum(r["n"])])
                         n = len(r)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.arange(slot, slot + n)), pa.array(np.full(n, m["shard"])), pa.array(r["k"], mask=r["k"] == NULL_KEY),
-                                pa.array(r["part"]), pa.array(r["n"]), ids,
-                            ],
-                            ["slot", "shard", "doc_id", "part", "n_tokens", "ids"],
-                        )
+                        columns = [np.arange(slot, slot + n), np.full(n, m["shard"]), pa.array(r["k"], mask=r["k"] == NULL_KEY), r["part"], r["n"]]
+                        out = digests(ids, ends) if digest else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), out], ["slot", "shard", "doc_id", "part", "n_tokens", last])
                         slot += n
+        give_back()
 
     spread = left.repartition(max(1, left.sparkSession.sparkContext.defaultParallelism * 4), "shard")
-    return spread.mapInArrow(records, "slot long, shard long, doc_id long, part int, n_tokens int, ids array<int>")
+    return spread.mapInArrow(records, f"slot long, shard long, doc_id long, part int, n_tokens int, {last} {'long' if digest else 'array<int>'}")
