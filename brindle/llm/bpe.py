@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import give_back, small_batches
 
 CHUNK_CHARS = 8 << 20
-#: Encoded words that a task remembers before it starts afresh (it then encodes some words again).
-REMEMBERED = 3_000_000
+#: Bytes of encoded words that a task remembers, about, before it starts afresh (it then encodes some words again).
+REMEMBERED = 384 << 20
+#: What a word takes there beside its own bytes, and each of its ids.
+WORD_BYTES, ID_BYTES = 220, 36
 DOCS = -1
 ROW = "chunk long, bucket int, words binary, places binary"
 
@@ -197,8 +199,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})
         known: dict[bytes, list[int]] = {}
+        held = 0
 
         def answer(data: bytes) -> bytes:
+            nonlocal held
             lengths, text = _split(data, 2)
             ends = np.cumsum(unpack(lengths)).tolist()
             text = zstandard.ZstdDecompressor().decompress(text)
@@ -206,9 +210,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             for end in ends:
                 w, start = text[start:end], end
                 if (x := known.get(w)) is None:
-                    if len(known) >= REMEMBERED:
+                    if held >= REMEMBERED:
                         known.clear()
+                        held = 0
                     x = known[w] = encoding.encode_ordinary(w.decode())
+                    held += WORD_BYTES + len(w) + ID_BYTES * len(x)
                 found.append(x)
             return _sections(pack(np.array([len(x) for x in found])), pack(np.array([i for x in found for i in x], np.int64)))
 

@@ -37,19 +37,20 @@ WITH d AS (
 ), rep AS (
   SELECT r, count(DISTINCT i + o) AS n FROM g, (VALUES (0), (1), (2)) v(o) WHERE c >= 2 GROUP BY r
 ), l AS (
-  SELECT r, count(*) AS n, count(*) - count(DISTINCT x) AS dup
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT x) AS dup, count(*) FILTER (x LIKE '%...' OR x LIKE '%…') AS points
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r
 ), m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(l.n, 0) AS n_lines
+         coalesce(l.n, 0) AS n_lines, length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters, coalesce(l.points, 0) AS n_points
   FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)
 ), b AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
     + 4 * (word_chars < 2 * n_words)::INT + 8 * (word_chars > 15 * n_words)::INT
-    + 16 * (10 * n_symbols > 3 * n_words)::INT + 32 * (10 * n_dup_lines > 7 * n_lines)::INT AS BIGINT) AS rule_bits
+    + 16 * (10 * n_symbols > 3 * n_words)::INT + 32 * (10 * n_dup_lines > 7 * n_lines)::INT
+    + 64 * (10 * n_letters < 3 * word_chars)::INT + 128 * (10 * n_points > 3 * n_lines)::INT AS BIGINT) AS rule_bits
   FROM m
 )
 """

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import NOT_SPACE, SPACE, let, words
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_ellipsis_lines")
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ RULES: tuple[Rule, ...] = (
     Rule("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
     Rule("many_symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
     Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 7 * m["n_lines"]),
+    Rule("few_letters", lambda m: 10 * m["n_letters"] < 3 * m["word_chars"]),
+    Rule("ellipsis_lines", lambda m: 10 * m["n_ellipsis_lines"] > 3 * m["n_lines"]),
 )
 BASE = Policy("base", 1, ("too_few_words", "repeated_words"))
 STRICT = Policy("strict", 1, tuple(r.name for r in RULES))
@@ -79,12 +81,14 @@ def _repeat_words(w: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keys`` and the MEASURES of each row's whole text, as longs; null and empty texts measure 0 throughout."""
+    """``keys`` and the MEASURES of each row's whole text, as longs; null and empty texts measure 0 throughout.
+
+    Lines are those with a word; ellipsis lines end with three points or the one character for them."""
     t = F.coalesce(F.col(text), F.lit(""))
     of_words = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     of_lines = let(
         F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)),
-        lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")),
+        lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"), F.size(F.filter(x, lambda y: y.endswith("...") | y.endswith("…"))).alias("e")),
     )
     raw = docs.select(
         *keys,
@@ -92,6 +96,7 @@ def measured(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id
         of_lines.alias("_l"),
         F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long").alias("n_letters"),
     )
     return raw.select(
         *keys,
@@ -101,6 +106,8 @@ def measured(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id
         (F.col("_l.n") - F.col("_l.d")).cast("long").alias("n_dup_lines"),
         F.col("_w.r").alias("n_repeat_words"),
         F.col("_l.n").cast("long").alias("n_lines"),
+        "n_letters",
+        F.col("_l.e").cast("long").alias("n_ellipsis_lines"),
     )
 
 

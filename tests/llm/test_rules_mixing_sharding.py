@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -17,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op2_source_mix", "op4_rule_ledger", "op8_shard_lookup", "rule_ablation"])
+@pytest.mark.parametrize("name", ["op2_source_mix", "op4_rule_ledger", "op8_shard_lookup", "shard_lookup_small", "rule_ablation"])
 def test_query_equals_sql(name, spark, sf_dir, same):
     same(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name])
 
@@ -31,12 +32,12 @@ def brute(text):
     tri = Counter(zip(w, w[1:], w[2:]))
     inside = {i + k for i, t in enumerate(zip(w, w[1:], w[2:])) if tri[t] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), len(lines)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), len(lines), sum(unicodedata.category(c)[0] == "L" for c in text), sum(x.endswith(("...", "…")) for x in lines)
 
 
 TEXTS = [
     None, "", " \t\n\x0b\x0c\r", "one", "a b", "a b c", "a a a a", "a b c a b c", "x y z\nx y z\n\nx y z", "é ü 　 w v", "#*$%&|<> a",
-    "a b c d a b c e b c d", "line\nline \nline\n", "word " * 3000, "x" * 50_000, "".join(f"w{i} " for i in range(5000)) + "w1 w2 w3", "\U0001F600 \U0001F600 \U0001F600 \U0001F600",
+    "a b c d a b c e b c d", "line\nline \nline\n", "word " * 3000, "x" * 50_000, "more...\nand so on…\n...\nend", "é 123 Ⅷ ª ǅ 中", "".join(f"w{i} " for i in range(5000)) + "w1 w2 w3", "\U0001F600 \U0001F600 \U0001F600 \U0001F600",
 ]
 
 

@@ -62,6 +62,13 @@ def test_encoding_equals_the_library(texts, ranks, library, chunk_chars):
     assert sorted(got, key=repr) == sorted(((k, library.encode_ordinary(t or "")) for k, t in rows), key=repr)
 
 
+def test_a_task_that_forgets_words_encodes_them_again(texts, ranks, library, monkeypatch):
+    rows, df = texts
+    monkeypatch.setattr(bpe, "REMEMBERED", 1000)
+    got = [(r.doc_id, list(r.ids)) for r in bpe.encode(df, ranks, PATTERN, chunk_chars=5000).collect()]
+    assert sorted(got, key=repr) == sorted(((k, library.encode_ordinary(t or "")) for k, t in rows), key=repr)
+
+
 def test_decoding(texts, ranks, spark):
     rows, df = texts
     back = bpe.decode(bpe.encode(df, ranks, PATTERN).withColumn("decoded", F.lit("old")), ranks).collect()
