@@ -53,22 +53,24 @@ STRICT = Policy("strict", 1, tuple(r.name for r in RULES))
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more, the first occurrence included."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)),
-    )
+    """Words inside 3-word windows that occur twice or more, the first occurrence included.
+
+    Windows are told apart by hash first, a long each; only those whose hash repeats are then written out and compared.
+    """
+    window = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*window(i)))
 
     def repeated(s: Column) -> Column:
-        """Places of windows equal to a neighbour in sorted order."""
+        """Places (``i``) whose ``t`` equals a neighbour's in sorted order."""
         same = lambda x, i: F.get(s, i - 1)["t"].eqNullSafe(x["t"]) | F.get(s, i + 1)["t"].eqNullSafe(x["t"])
         return F.transform(F.filter(s, same), lambda x: x["i"])
 
-    def covered(ws: Column) -> Column:
+    def covered(hs: Column) -> Column:
         """Each repeated window, in order of place, adds the words that the one before it has not covered."""
-        in_order = F.sort_array(F.transform(ws, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+        by_hash = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("t"), i.alias("i"))))
+        written = F.transform(let(by_hash, repeated), lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("t"), i.alias("i")))
         return F.aggregate(
-            F.sort_array(let(in_order, repeated)),
+            F.sort_array(let(F.sort_array(written), repeated)),
             F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
             lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
             lambda a: a["n"],
@@ -76,7 +78,7 @@ def _repeat_words(w: Column) -> Column:
 
     none = F.lit(0).cast("long")
     return F.when(F.size(w) < 4, none).otherwise(
-        let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), none).otherwise(covered(ws)))
+        let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(covered(hs)))
     )
 
 
