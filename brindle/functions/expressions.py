@@ -60,6 +60,11 @@ def geq(a: Expr, b: Expr) -> Column:
     return _c(a) >= _c(b)
 
 
+def between(a: Expr, low: Expr, high: Expr) -> Column:
+    """At least ``low`` and at most ``high``; negate it for NOT BETWEEN."""
+    return and_(geq(a, low), leq(a, high))
+
+
 def and_(*terms: Column) -> Column:
     return reduce(lambda a, b: a & b, terms)
 

@@ -43,14 +43,14 @@ def vector_select(table: DataFrame, columns: Sequence[str], filters: Mapping[str
 
 
 def output(df: DataFrame, name: str = "line") -> DataFrame:
-    """Each row as text: every value followed by ``|``, NULL empty, booleans t or f, doubles with six digits."""
+    """Each row as text: every value followed by ``|``, NULL empty, booleans t or f, doubles with six digits, inf or nan."""
 
     def text(f) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, BooleanType):
             c = F.when(c, "t").when(~c, "f")
         elif isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.format_string("%.6f", c)
+            c = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(F.format_string("%.6f", c))
         elif isinstance(f.dataType, DateType):
             c = F.concat_ws("-", F.year(c).cast("string"), F.lpad(F.month(c).cast("string"), 2, "0"), F.lpad(F.dayofmonth(c).cast("string"), 2, "0"))
         return F.concat(F.when(F.col(f"`{f.name}`").isNull(), "").otherwise(c.cast("string")), F.lit("|"))

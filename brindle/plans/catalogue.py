@@ -11,6 +11,7 @@ from brindle import functions as E
 from brindle.operators import (
     aggregate, cross_product, group_by_aggregate, hash_join, multiway_join, numbered, order_by, output, project, ranked, scalar_cross, scan, scan_select, select, vector_select,
 )
+from brindle.plans.inspect import scans
 from brindle.plans.job import star, star_by_sql, star_sql
 from brindle.scratch import shared_path
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
@@ -147,6 +148,20 @@ def filter_boolean(db: Database) -> DataFrame:
     return select(db["orders"], E.and_(E.eq(E.gt("o_totalprice", E.lit(1000)), E.lit(True)), E.not_(E.eq("o_orderstatus", E.lit("F"))))).select("o_orderkey")
 
 
+@query("SELECT p_partkey FROM part WHERE CAST(p_size AS SMALLINT) >= 10 AND CAST(p_size AS SMALLINT) <> 12")
+def filter_smallint(db: Database) -> DataFrame:
+    parts = project(db["part"], {"p_partkey": "p_partkey", "size": F.col("p_size").cast("smallint")})
+    return select(parts, E.and_(E.geq("size", E.lit(10)), E.neq("size", E.lit(12)))).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+def filter_stored_boolean(db: Database) -> DataFrame:
+    """A column of booleans in a file, not a comparison that is computed."""
+    path = shared_path(db.spark, "booleans")
+    write_columnar(project(db["orders"], {"o_orderkey": "o_orderkey", "big": E.gt("o_totalprice", E.lit(100000))}), path)
+    return select(read_columnar(db.spark, path), E.eq("big", E.lit(True))).select("o_orderkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE (c_nationkey = 3 OR c_nationkey = 4) AND NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')")
 def filter_and_or_not(db: Database) -> DataFrame:
     nation = E.or_(E.eq("c_nationkey", E.lit(3)), E.eq("c_nationkey", E.lit(4)))
@@ -155,7 +170,8 @@ def filter_and_or_not(db: Database) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 3 AND 5 AND l_discount NOT BETWEEN 0.02 AND 0.08")
 def filter_between(db: Database) -> DataFrame:
-    return select(db["lineitem"], F.col("l_quantity").between(3, 5) & ~F.col("l_discount").between(0.02, 0.08)).select("l_orderkey", "l_linenumber")
+    both = E.and_(E.between("l_quantity", E.lit(3), E.lit(5)), E.not_(E.between("l_discount", E.lit(0.02), E.lit(0.08))))
+    return select(db["lineitem"], both).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size IN (1, 7, 49) AND p_brand NOT IN ('Brand#11', 'Brand#12')")
@@ -423,6 +439,19 @@ def order_in_groups(db: Database) -> DataFrame:
     return ranked(db["customer"], ["c_mktsegment"], [F.col("c_acctbal").desc(), F.col("c_custkey")], "place").select("c_mktsegment", "c_custkey", "place")
 
 
+# Plan inspection
+
+
+@query("SELECT unnest(['l_orderkey', 'l_quantity', 'l_returnflag']) AS read_column, 3 AS filters, 1 AS scans")
+def inspect_plan(db: Database) -> DataFrame:
+    """What a filtered scan of three columns reads, and that its filters (two, and one that the column is there) are pushed."""
+    df = scan_select(db["lineitem"], ["l_orderkey"], [E.lt("l_quantity", E.lit(10)), E.eq("l_returnflag", E.lit("R"))])
+    found = scans(df)
+    ((columns, filters),) = found
+    kept = [f for f in filters if "IsNotNull" not in f] + [f for f in filters if f == "IsNotNull(l_quantity)"]
+    return db.spark.createDataFrame([(c, len(kept), len(found)) for c in columns], "read_column string, filters int, scans int")
+
+
 # SQL entry
 
 

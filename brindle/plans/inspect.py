@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 
@@ -15,3 +16,14 @@ def plan_json(df: DataFrame) -> list[dict]:
 def plan_text(df: DataFrame) -> str:
     """The physical plan that is to run."""
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(df: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """The columns that each file scan of the physical plan reads, and the filters that it was handed."""
+    out = []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        if "ReadSchema: struct<" in line:
+            read = re.search(r"ReadSchema: struct<(.*)>", line)[1]
+            pushed = re.search(r"PushedFilters: \[(.*?)\](?:, |$)", line)
+            out.append(([c.split(":")[0] for c in read.split(",")] if read else [], [f for f in re.split(r", (?=[A-Z])", pushed[1]) if f] if pushed else []))
+    return out

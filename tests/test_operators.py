@@ -207,6 +207,11 @@ def test_output_text(info):
     assert lines[1] == "2|f||0.500000|4||" and lines[0] == "1|f|2021-01-01||-3|1000000000000|" and lines[-1] == "||||||"
 
 
+def test_output_of_doubles(spark):
+    df = spark.createDataFrame([(1.5,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "d double").coalesce(1)
+    assert [r.line for r in output(df).collect()] == ["1.500000|", "inf|", "-inf|", "nan|", "|"]
+
+
 def test_null_keys_of_whole_tables(spark, tmp_path):
     """Against a loop over all pairs, with a hot segment, a NULL one, repeated ids and ids far above 40."""
     data = [(k % 250 * 7, ["MACHINERY", "MACHINERY", "MACHINERY", "BUILDING", "FURNITURE", None][k % 6], 1.0) for k in range(300)]
