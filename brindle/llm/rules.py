@@ -141,7 +141,8 @@ def apply_policy(ledger: DataFrame, policy: Policy, rules: Sequence[Rule] = RULE
 
 
 def ablation(ledger: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """For each rule of the policy: rows it fails, rows that only it fails, rows kept with and without it.
+    """For each rule of the policy: rows it fails, rows that only it fails, rows kept with and without it. An empty ledger
+    gives no rows.
 
     Rows with equal bits are counted together first, so what is shuffled is one row per bit pattern and task.
     """

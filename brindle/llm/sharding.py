@@ -57,7 +57,8 @@ def slot(key: Column, size: int = SIZE) -> Column:
 def place(df: DataFrame, key: str, shards: Sequence[str], size: int = SIZE, out: str = "shard") -> DataFrame:
     """``df`` with ``slot`` and the name of the shard that holds it; columns of these names are replaced.
 
-    Rows are neither moved nor dropped, and equal keys, also hot ones, land in one shard.
+    Rows are neither moved nor dropped, and equal keys, also hot ones, land in one shard; null keys are one key. An empty
+    table stays empty.
     """
     names = F.array(*map(F.lit, shards))
     held = F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",")
