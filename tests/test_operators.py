@@ -219,7 +219,7 @@ def test_null_keys_of_whole_tables(spark, tmp_path):
     db = Database(spark, str(tmp_path))
     seen = [(r.c_custkey, r.seg) for r in catalogue._nulled(db).collect()]
     want = Counter(a for a, s in seen for _, t in seen if s is not None and s == t)
-    assert any(s is None for _, s in seen) and got(catalogue.join_null_keys_whole(db)) == sorted(want.items(), key=repr)
+    assert any(s is None for _, s in seen) and got(catalogue.join_null_keys(db)) == sorted(want.items(), key=repr)
 
 
 def test_delimited_round_trip(spark, tmp_path, info):
@@ -262,11 +262,11 @@ def test_columnar_round_trip_of_whole_tables(spark, tmp_path, monkeypatch):
     spark.createDataFrame(data, "o_orderkey long, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     db, want = Database(spark, str(tmp_path)), [(k, p, d.date()) for k, p, d in data]
     pushed = catalogue.columnar_round_trip_pushed(db)
-    assert got(catalogue.columnar_round_trip_whole(db)) == sorted(want, key=repr)
+    assert got(catalogue.columnar_round_trip(db)) == sorted(want, key=repr)
     assert got(pushed) == sorted((r for r in want if r[2].year >= 2000), key=repr)
     assert "GreaterThanOrEqual(o_orderdate,2000-01-01)" in plan_text(pushed)
     monkeypatch.setattr(catalogue, "write_columnar", lambda df, *a, **b: write_columnar(df.where("o_orderkey <> 500"), *a, **b))
-    assert len(got(catalogue.columnar_round_trip_whole(db))) == len(want) - 1
+    assert len(got(catalogue.columnar_round_trip(db))) == len(want) - 1
 
 
 def test_sql_statements(spark, sf_dir):
