@@ -12,6 +12,7 @@ from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway
 from brindle.operators.joins import join_order, measured_order, statistics, tables_of
 from brindle.plans import catalogue
 from brindle.plans.inspect import plan_json, plan_text
+from brindle.plans.skew import HOT, SkewedDatabase
 from brindle.plans.sql import run_sql, statements
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
 from brindle.tables import KEYS, SCHEMAS, Database
@@ -202,6 +203,26 @@ def test_skewed_join(spark):
     assert hash_join(hot, spark.range(100).withColumnRenamed("id", "j"), [("k", "j")]).count() == 10_000 + 50
 
 
+def test_hot_key_is_split(spark, tmp_path):
+    """On skewed keys, adaptive execution splits the partition of the hot one between tasks."""
+    held = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    spark.range(200_000).selectExpr("id o_orderkey", "id % 5000 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5000).selectExpr("id c_custkey", "concat('c', id) c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    db = SkewedDatabase(spark, str(tmp_path), tables=())
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet").withColumns({c: F.expr(e) for c, e in HOT["orders"].items()})
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        joined = hash_join(orders, db["customer"], [("o_custkey", "c_custkey")])
+        hot = [r for r in joined.collect() if r.o_custkey == 1]
+        assert len(hot) == sum(1 for k in range(200_000) if k % 3 == 0 or k % 5000 == 1)
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_output_text(info):
     lines = [r.line for r in output(info.orderBy(F.col("id").asc_nulls_last())).collect()]
     assert lines[1] == "2|f||0.500000|4||" and lines[0] == "1|f|2021-01-01||-3|1000000000000|" and lines[-1] == "||||||"
