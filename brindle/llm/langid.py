@@ -274,7 +274,8 @@ def identify(
         del scorer
         give_back()
 
-    out = docs.withColumn("_language", predict(F.col(text)))
+    # Said to be nondeterministic, so that a filter on its result does not have Spark run it once more below the filter.
+    out = docs.withColumn("_language", predict.asNondeterministic()(F.col(text)))
     names = {"lang": pred, "score": score, "words": words, "known": known}
     return out.withColumns({to: F.col(f"_language.{x}") for x, to in names.items() if to}).drop("_language")
 

@@ -141,6 +141,13 @@ def test_odd_rows_by_language(spark, odd):
     assert rows_of(pipeline.language_id(spark, odd, SF)) == Counter((k, t, lang or "en", s, n) for k, t, lang, s, n in ODD if t and t != "12 34")
 
 
+def test_each_text_is_scored_once(spark, odd):
+    """The filter on the language and the column that takes it do not run the model twice."""
+    for stage in (pipeline.language_id, pipeline.quality_classifier):
+        plan = stage(spark, odd, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1
+
+
 def test_odd_rows_by_quality(spark, odd):
     """Rows stay or go with their equals, and those that stay are whole."""
     kept = rows_of(pipeline.quality_classifier(spark, odd, SF))
