@@ -89,6 +89,36 @@ def join_order(names: Sequence[str], predicates: Sequence[str], size: Mapping[st
     return order
 
 
+def independent(predicates: Sequence[str], given: Sequence[str] = (), kinds: Mapping[str, str] | None = None) -> list[str]:
+    """``predicates`` without the equalities that follow from ``given`` and the ones before them, as a.x = c.z from a.x = b.y and b.y = c.z.
+
+    As join keys they would repeat a column. Spark packs two int keys into one long, and its hash of a long with equal
+    halves takes few values: a broadcast table of n rows then needs some n * n steps.
+    With ``kinds``, types by ``alias.column``, only columns of one type count, since casts can make equality intransitive.
+    """
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    def adds(p: str) -> bool:
+        if not (sides := EQUALITY.fullmatch(p)):
+            return True
+        a, b = ".".join(sides.group(1, 2)), ".".join(sides.group(3, 4))
+        if kinds is not None and (a not in kinds or kinds[a] != kinds.get(b)):
+            return True
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+        return a != b
+
+    for p in given:
+        adds(p)
+    return [p for p in predicates if adds(p)]
+
+
 def statistics(inputs: Mapping[str, DataFrame], predicates: Sequence[str]) -> dict[str, tuple[int, dict[str, int]]]:
     """By alias, the rows and the distinct values of each column that an equality uses, measured in one job."""
     columns: dict[str, set[str]] = {n: set() for n in inputs}
@@ -137,7 +167,7 @@ def multiway_join(
     pass over them where filters such as LIKE, or skewed keys, mislead the estimates from file sizes.
 
     Predicates on one table filter it before any join. Each other one is attached as soon as all its tables are
-    bound, so equalities become join keys. Columns stay reachable as ``alias.column``.
+    bound, so equalities become join keys; one that those before it imply is left out. Columns stay reachable as ``alias.column``.
     """
     names = list(tables)
     refs = [(p, tables_of(p, names)) for p in predicates]
@@ -151,10 +181,12 @@ def multiway_join(
         order = measured_order(names, across, statistics(inputs, across), prefix)
     else:
         order = join_order(names, across, {n: estimated_bytes(df) for n, df in inputs.items()}, prefix, unique)
-    out, bound = inputs[order[0]], {order[0]}
+    kinds = {f"{n}.{f.name}": f.dataType.json() for n, df in inputs.items() for f in df.schema.fields}
+    out, bound, given = inputs[order[0]], {order[0]}, [p for p, t in refs if len(t) == 1]
     for n in order[1:]:
         bound.add(n)
-        ready = [p for p, t in shared if n in t and t <= bound]
+        ready = independent([p for p, t in shared if n in t and t <= bound], given, kinds)
+        given += ready
         right = _hinted(inputs[n], strategy)
         out = out.join(right, reduce(lambda a, b: a & b, map(F.expr, ready)), "inner") if ready else out.crossJoin(right)
     free = [p for p, t in shared if not t]

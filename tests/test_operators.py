@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from brindle import functions as E
 from brindle.operators import aggregate, group_by_aggregate, hash_join, multiway_join, numbered, order_by, output, ranked, scan_select, select, vector_select
-from brindle.operators.joins import join_order, measured_order, statistics, tables_of
+from brindle.operators.joins import independent, join_order, measured_order, statistics, tables_of
 from brindle.plans import catalogue
 from brindle.plans.inspect import plan_json, plan_text
+from brindle.plans.movies import PLANS
 from brindle.plans.skew import HOT, SkewedDatabase
 from brindle.plans.sql import run_sql, statements
 from brindle.sources import read_columnar, read_delimited, write_columnar, write_delimited
@@ -149,6 +151,13 @@ def test_self_join_on_two_columns(spark, strategy):
     assert hash_join(df, df, [("boss", "id"), ("id", "id")], strategy).columns == ["id", "name", "boss"] * 2
 
 
+def repeated_keys(df):
+    """The equi-joins of the physical plan that have a column twice among a side's keys."""
+    sides = re.findall(r"Join \[([^\]]*)\], \[([^\]]*)\]", plan_text(df))
+    assert sides
+    return [x for x in sides if any(len(set(s.split(", "))) < len(s.split(", ")) for s in x)]
+
+
 @pytest.mark.parametrize("strategy", [None, "merge", "shuffle_hash", "broadcast"])
 def test_multiway_join_by_strategy(info, strategy):
     t, preds = {"a": info, "b": info, "c": info}, ["a.id = b.id", "b.cheated = c.cheated", "c.num1 < 5"]
@@ -171,6 +180,40 @@ def test_measured_statistics_lead_the_order(spark):
     assert got(multiway_join(t, preds, measure=True).select("b.id", "m.hot")) == got(multiway_join(t, preds).select("b.id", "m.hot"))
 
 
+def test_independent_equalities():
+    ab, bc, ac = "a.x = b.y", "b.y = c.z", "c.z = a.x"
+    assert independent([ab, bc, ac]) == [ab, bc] and independent([ac, "a.x < c.z"], [ab, bc]) == ["a.x < c.z"]
+    assert independent([ab, ab, "b.w = c.z"]) == [ab, "b.w = c.z"]
+    assert independent([ab, bc, ac], kinds={"a.x": "int", "b.y": "int", "c.z": "int"}) == [ab, bc]
+    assert independent([ab, bc, ac], kinds={"a.x": "string", "b.y": "int", "c.z": "string"}) == [ab, bc, ac]
+    assert independent([ab, bc, ac], kinds={"a.x": "int", "b.y": "int"}) == [ab, bc, ac]
+
+
+@pytest.mark.parametrize("strategy", [None, "merge", "broadcast"])
+def test_equalities_that_others_imply_are_no_join_keys(spark, strategy):
+    """Three tables on one id, one of them with a second column of its own filter: a key a column, whatever the order."""
+    t = {n: spark.createDataFrame([(k % m or None, k) for k in range(24)], "id int, v int").withColumn("w", F.col("id")) for n, m in (("a", 5), ("b", 4), ("c", 6))}
+    preds = ["a.id = b.id", "a.id = c.id", "b.id = c.id", "c.w = c.id", "a.v < c.v", "b.w = c.w"]
+    a, b, c = ([tuple(r) for r in t[n].collect()] for n in "abc")
+    want = [(x[1], y[1], z[1]) for x in a for y in b for z in c if x[0] is not None and x[0] == y[0] == z[0] and x[1] < z[1]]
+    for prefix in ((), ("c", "b"), ("b", "a"), ("a", "c")):
+        out = multiway_join(t, preds, prefix, strategy).select("a.v", F.col("b.v").alias("bv"), F.col("c.v").alias("cv"))
+        assert repeated_keys(out) == []
+        assert got(out) == sorted(want, key=repr) and want
+
+
+def test_equality_across_types_is_kept(spark):
+    """'01' and '1' both equal the number 1 but not each other, so the third equality does not follow from the others."""
+    t = {"a": spark.createDataFrame([("01",), ("1",), ("2",)], "x string"), "b": spark.createDataFrame([(1,), (2,)], "y int"), "c": spark.createDataFrame([("1",), ("02",)], "z string")}
+    out = multiway_join(t, ["a.x = b.y", "b.y = c.z", "a.x = c.z"]).select("a.x", "c.z")
+    assert got(out) == [("1", "1")]
+
+
+@pytest.mark.parametrize("name", ["movies_budget_votes"])
+def test_movie_joins_have_a_key_once(spark, sf_dir, name):
+    assert repeated_keys(PLANS[name](Database(spark, sf_dir))) == []
+
+
 def test_multiway_join_orders_give_one_result(info):
     t = {"a": info, "b": info, "c": info, "d": info}
     preds = ["a.id = b.id", "b.cheated = c.cheated", "c.num1 < d.num1", "a.num1 >= 0", "a.id + c.id > d.id"]
