@@ -209,7 +209,7 @@ def test_equality_across_types_is_kept(spark):
     assert got(out) == [("1", "1")]
 
 
-@pytest.mark.parametrize("name", ["movies_budget_votes"])
+@pytest.mark.parametrize("name", ["movies_budget_votes", "movies_links"])
 def test_movie_joins_have_a_key_once(spark, sf_dir, name):
     assert repeated_keys(PLANS[name](Database(spark, sf_dir))) == []
 
