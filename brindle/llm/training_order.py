@@ -4,7 +4,8 @@ Texts become sequences of ``seq_len`` ids. A first pass counts the sequences of
 index is exact: its place among its partition's sequences behind those of the partitions before it. A keyed Feistel
 network permutes the indices 0 .. n - 1; where it leaves that range, it is applied again until it comes back
 (cycle-walking). Its output is the sequence's global slot, and its inverse tells the index at any slot. The texts
-are tokenised twice rather than stored in between: that would be one more copy of the corpus.
+are tokenised twice rather than stored in between: that would be one more copy of the corpus. Both times a task
+takes its rows in chunks and encodes each distinct word of a chunk once.
 
 A shard holds ``shard_bytes`` of slots in a row, so slot k is record k mod m of shard k // m. A task sorts a range of
 slots and writes its shards one after the other, in records of equal stride: readers go through a file in sequence and
@@ -19,10 +20,10 @@ import zlib
 from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
@@ -35,6 +36,10 @@ from brindle.scratch import qualified
 #: Bytes of a record before its ids: key (8), part of the text (4), ids that count (4).
 HEAD = 16
 NULL_KEY = -(1 << 63)
+#: GPT-2's pattern: a space goes to the word behind it, and white space ends one character before a word.
+BY_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of texts whose distinct words are encoded together, about.
+CHUNK_BYTES = 16 << 20
 
 
 class Feistel:
@@ -109,6 +114,99 @@ def shard_records(form: Layout, shard_bytes: int) -> int:
     return max(1, shard_bytes // form.stride)
 
 
+def _white_ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which words start and which end with white space; an empty one does both."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out = []
+    for k, at in ((0, offsets[:-1]), (-1, offsets[1:] - 1)):
+        white = np.diff(offsets) == 0
+        first = np.zeros(len(words), np.uint8)
+        first[~white] = data[at[~white]]
+        # Printable ASCII is no white space; Python knows the rest.
+        for i in np.flatnonzero(~white & ((first <= 32) | (first >= 127))).tolist():
+            white[i] = words[i].as_py()[k].isspace()
+        out.append(white)
+    return out[0], out[1]
+
+
+class Words:
+    """Encodes texts word by word, each distinct word once a call.
+
+    ``BY_WORD`` lets texts be cut before any space that has white space on one side at most: no piece reaches over it.
+    Texts with a space between two white-space characters, and all with another pattern, are encoded whole.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.encode = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.by_word = pattern == BY_WORD
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+
+    def _ids(self, words: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every word behind a space, in a row, and how many each has. The ``plain`` ones, without white space at
+        their ends, are encoded as one text, in which just their first ids start with a space."""
+        together = words.filter(pa.array(plain))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together), " ")[0].as_py()
+        joined = np.array(self.encode(f" {text}") if len(together) else [], np.int32)
+        others = [self.encode(f" {words[k].as_py()}") for k in np.flatnonzero(~plain).tolist()]
+        n = np.zeros(len(words), np.int64)
+        n[plain] = np.diff(np.flatnonzero(self.spaced[joined]), append=len(joined))
+        n[~plain] = [len(x) for x in others]
+        ids, of_plain = np.empty(int(n.sum()), np.int32), np.repeat(plain, n)
+        ids[of_plain], ids[~of_plain] = joined, [i for x in others for i in x]
+        return ids, n
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text (null: none), and all ids in a row."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if not self.by_word:
+            found = [self.encode(x or "") for x in texts.to_pylist()]
+            return np.array([len(x) for x in found]), np.fromiter((i for x in found for i in x), np.int32)
+        lists = pc.split_pattern(texts.fill_null(""), " ")
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().copy(), coded.dictionary
+        left, right = _white_ends(words)
+        bad = right[codes[:-1]] & left[codes[1:]]
+        bad[first[1:] - 1] = False
+        whole = np.unique(np.searchsorted(first, np.flatnonzero(bad), "right") - 1)
+        # A text's first word has no space before it, and texts to be encoded whole have one code, at their first word.
+        head, codes[first] = np.unique(codes[first], return_inverse=True)
+        codes[first] += len(words)
+        codes[first[whole]] = len(words) + len(head) + np.arange(len(whole))
+        counts = np.diff(first, append=len(codes))
+        if len(whole):
+            stays = np.ones(len(texts), bool)
+            stays[whole] = False
+            stays = np.repeat(stays, counts)
+            stays[first] = True
+            codes, counts[whole] = codes[stays], 1
+        ids, n = self._ids(words, ~(left | right))
+        more = [self.encode(x) for x in [words[k].as_py() for k in head.tolist()] + [texts[k].as_py() for k in whole.tolist()]]
+        table = np.concatenate([ids, np.fromiter((i for x in more for i in x), np.int32)])
+        n = np.concatenate([n, [len(x) for x in more]]).astype(np.int64)
+        each, starts = n[codes], np.cumsum(n) - n
+        ends = np.cumsum(each)
+        at = np.repeat(starts[codes] - (ends - each), each)
+        at += np.arange(len(at))
+        return np.add.reduceat(each, np.cumsum(counts) - counts), table[at]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order, in tables of about ``CHUNK_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > CHUNK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _packed(heads: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.Array:
     """Records (head, then ids without padding) as one binary array; ``ids`` are those of all records in a row."""
     head = HEAD // ids.dtype.itemsize
@@ -158,13 +256,15 @@ def materialise(
     d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     form, vocabulary = layout(ranks, seq_len), spark.sparkContext.broadcast(ranks)
 
-    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[int]]]]:
-        encoding = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        for batch in batches:
-            yield batch.column(0).to_pylist(), [encoding.encode_ordinary(t) if t else [] for t in batch.column(1).to_pylist()]
+    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        encoded = Words(vocabulary.value, pattern)
+        for rows in _chunks(batches):
+            for keys, texts in zip(rows.column(0).chunks, rows.column(1).chunks, strict=True):
+                yield keys, *encoded(texts)
+        give_back()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(-(-len(x) // seq_len) for _, ids in tokenized(batches) for x in ids)
+        n = sum(int((-(-sizes // seq_len)).sum()) for _, sizes, _ in tokenized(batches))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["p", "n"])
 
     # Two numbers for each partition that the texts are read in, as the scheduler itself holds of each.
@@ -183,8 +283,7 @@ def materialise(
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, feistel = TaskContext.get().partitionId(), Feistel(total, seed)
         at, end = (int(x) for x in starts.value[p : p + 2]) if p + 1 < len(starts.value) else (0, 0)
-        for keys, texts in tokenized(batches):
-            sizes = np.array([len(x) for x in texts])
+        for keys, sizes, ids in tokenized(batches):
             parts = -(-sizes // seq_len)
             n = int(parts.sum())
             if not n:
@@ -194,12 +293,11 @@ def materialise(
             which = np.repeat(np.arange(len(keys)), parts)
             part = np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts)
             heads = np.zeros(n, [("k", "<i8"), ("part", "<i4"), ("n", "<i4")])
-            heads["k"] = np.array([NULL_KEY if k is None else k for k in keys], np.int64)[which]
+            heads["k"] = keys.fill_null(NULL_KEY).to_numpy()[which]
             heads["part"], heads["n"] = part, np.minimum(sizes[which] - part * seq_len, seq_len)
-            ids = np.fromiter(chain.from_iterable(texts), form.kind, int(sizes.sum()))
             slot = feistel.place(np.arange(at, at + n))
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // width).astype(np.int32)), _packed(heads, heads["n"].astype(np.int64), ids)], ["slot", "task", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // width).astype(np.int32)), _packed(heads, heads["n"].astype(np.int64), ids.astype(form.kind))], ["slot", "task", "record"])
         if at != end:
             raise RuntimeError("a partition has other rows than when it was counted: store the table first")
 

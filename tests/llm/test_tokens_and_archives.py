@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ import __spark_entry__ as entry
 from brindle.llm import bpe, training_order, warc
 from brindle.llm.common import shared_path, stored
 from brindle.llm.queries_bpe import digests
-from brindle.llm.training_order import Feistel, layout, materialise, read, read_manifest, shard_records
+from brindle.llm.training_order import BY_WORD, Feistel, Words, layout, materialise, read, read_manifest, shard_records
 
 PATTERN = public_tokenizers.PATTERN
 SF = "/root/testdata/sf0.01"
@@ -170,6 +171,35 @@ def test_slots_lead_back_to_sequences():
         assert f.place(np.arange(n)).tolist() == brute_slots(n, 42) and f.index(np.array(brute_slots(n, 42))).tolist() == list(range(n))
 
 
+@pytest.mark.parametrize("pattern", [PATTERN, r"[\s\S]{1,5}"])
+def test_words_encode_as_the_library(ranks, pattern):
+    """White space of all kinds, in every place, beside letters, marks and contractions."""
+    library, encoded, rng = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Words(ranks, pattern), random.Random(21)
+    alphabet = [*"    \n\t\r\x0b\x1c\x85\u00a0\u2003\u3000\u180e\u200bab's1.é中\u0301\U0001f600", "ll", "word", "<|endoftext|>"]
+    made = [None if rng.random() < 0.05 else "".join(rng.choices(alphabet, k=rng.randrange(20))) for _ in range(10_000)] + TEXTS
+    want = [library.encode_ordinary(t or "") for t in made]
+    for at, n in ((0, len(made)), (17, 4000), (5, 1), (9, 0)):
+        sizes, ids = encoded(pa.array(made).slice(at, n))
+        assert sizes.tolist() == [len(x) for x in want[at : at + n]] and ids.tolist() == [i for x in want[at : at + n] for i in x]
+
+
+def test_a_repeated_word_is_encoded_once(ranks, monkeypatch):
+    assert BY_WORD == PATTERN
+    seen, plain = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: seen.append(text) or plain(self, text))
+    docs = ["the quick brown fox, " * 1000, "the brown fox\nruns"] * 50
+    sizes, _ = Words(ranks, PATTERN)(pa.array(docs))
+    assert sizes[0] > 5000 and sum(map(len, seen)) < 100
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 3000, 1 << 24])
+def test_chunks_keep_rows_in_order(monkeypatch, chunk_bytes):
+    monkeypatch.setattr(training_order, "CHUNK_BYTES", chunk_bytes)
+    batches = pa.table({"k": range(1000), "t": ["x" * 20] * 1000}).to_batches(max_chunksize=40)
+    tables = list(training_order._chunks(iter(batches)))
+    assert pa.concat_tables(tables)["k"].to_pylist() == list(range(1000)) and len(tables) == {1: 25, 3000: 13, 1 << 24: 1}[chunk_bytes]
+
+
 def test_path_without_a_scheme_is_in_the_default_file_system(texts, ranks, library, spark, tmp_path):
     _, df = texts
     path, form = str(tmp_path / "bare"), layout(ranks, 64)
