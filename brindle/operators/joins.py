@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from brindle.tables import KEYS
 STRATEGIES = {None: None, "merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast"}
 #: A broadcast hint is only given to inputs that Spark estimates at no more than this.
 BROADCAST_BYTES = 64 << 20
+#: Quoted text in an expression.
+QUOTED = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"")
 #: alias.column = alias.column
 EQUALITY = re.compile(r"\s*(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)\s*")
 
@@ -55,7 +58,7 @@ def scalar_cross(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def tables_of(predicate: str, names: Sequence[str]) -> frozenset[str]:
     """Tables that a predicate such as ``a.x = b.y`` refers to; quoted text does not count."""
-    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"", "", predicate)
+    bare = QUOTED.sub("", predicate)
     return frozenset(t for t in re.findall(r"\b([A-Za-z_]\w*)\s*\.\s*[A-Za-z_`]", bare) if t in names)
 
 
@@ -157,6 +160,34 @@ def measured_order(names: Sequence[str], predicates: Sequence[str], stats: Mappi
     return order
 
 
+def _filtered(tables: Mapping[str, DataFrame], predicates: Sequence[str]) -> tuple[dict[str, DataFrame], list[tuple[str, frozenset[str]]]]:
+    """The aliased tables under their own predicates, and every predicate with its tables."""
+    refs = [(p, tables_of(p, list(tables))) for p in predicates]
+    return {n: reduce(lambda d, p: d.filter(F.expr(p)), [p for p, t in refs if t == {n}], df.alias(n)) for n, df in tables.items()}, refs
+
+
+def _steps(order: Sequence[str], inputs: Mapping[str, DataFrame], refs: Sequence[tuple[str, frozenset[str]]]) -> list[tuple[str, list[str]]]:
+    """Each table behind the first with the predicates to attach when it is joined."""
+    kinds = {f"{n}.{f.name}": f.dataType.json() for n, df in inputs.items() for f in df.schema.fields}
+    out, bound, given = [], {order[0]}, [p for p, t in refs if len(t) == 1]
+    for n in order[1:]:
+        bound.add(n)
+        ready = independent([p for p, t in refs if len(t) > 1 and n in t and t <= bound], given, kinds)
+        given += ready
+        out.append((n, ready))
+    return out
+
+
+def _attached(left: DataFrame, right: DataFrame, ready: Sequence[str]) -> DataFrame:
+    return left.join(right, reduce(lambda a, b: a & b, map(F.expr, ready)), "inner") if ready else left.crossJoin(right)
+
+
+def _columns_of(expression: str, names: Collection[str]) -> set[str]:
+    """``alias.column`` of an expression, for the given aliases."""
+    bare = QUOTED.sub("", expression)
+    return {f"{t}.{c}" for t, c in re.findall(r"\b([A-Za-z_]\w*)\s*\.\s*(\w+|`[^`]+`)", bare) if t in names}
+
+
 def multiway_join(
     tables: Mapping[str, DataFrame], predicates: Sequence[str], prefix: Sequence[str] = (), strategy: str | None = None, unique: Collection[str] = KEYS, measure: bool = False
 ) -> DataFrame:
@@ -169,25 +200,58 @@ def multiway_join(
     Predicates on one table filter it before any join. Each other one is attached as soon as all its tables are
     bound, so equalities become join keys; one that those before it imply is left out. Columns stay reachable as ``alias.column``.
     """
-    names = list(tables)
-    refs = [(p, tables_of(p, names)) for p in predicates]
-    inputs = {}
-    for n, df in tables.items():
-        own = [p for p, t in refs if t == {n}]
-        inputs[n] = reduce(lambda d, p: d.filter(F.expr(p)), own, df.alias(n))
-    shared = [(p, t) for p, t in refs if len(t) != 1]
-    across = [p for p, _ in shared]
+    names, (inputs, refs) = list(tables), _filtered(tables, predicates)
+    across = [p for p, t in refs if len(t) != 1]
     if measure:
         order = measured_order(names, across, statistics(inputs, across), prefix)
     else:
         order = join_order(names, across, {n: estimated_bytes(df) for n, df in inputs.items()}, prefix, unique)
-    kinds = {f"{n}.{f.name}": f.dataType.json() for n, df in inputs.items() for f in df.schema.fields}
-    out, bound, given = inputs[order[0]], {order[0]}, [p for p, t in refs if len(t) == 1]
-    for n in order[1:]:
+    out = inputs[order[0]]
+    for n, ready in _steps(order, inputs, refs):
+        out = _attached(out, _hinted(inputs[n], strategy), ready)
+    return reduce(lambda d, p: d.filter(F.expr(p)), [p for p, t in refs if not t], out)
+
+
+def multiway_min(tables: Mapping[str, DataFrame], predicates: Sequence[str], outputs: Mapping[str, str], prefix: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
+    """One row with the MIN of each of ``outputs``, expressions in ``alias.column``, over the join of ``multiway_join`` with ``measure``.
+
+    A minimum does not change if rows repeat. Before a join that can multiply rows, the tables joined so far are thus reduced to
+    one row, with the minima so far, for each combination of the columns that predicates still need; so is the table that comes in where
+    the measured numbers say that it has at least twice as many rows. Many facts of one key then never meet as all their pairs.
+    """
+    names, (inputs, refs) = list(tables), _filtered(tables, predicates)
+    across = [p for p, t in refs if len(t) != 1]
+    stats = statistics(inputs, across)
+    order = measured_order(names, across, stats, prefix)
+    steps = _steps(order, inputs, refs)
+    held: set[str] = set()
+    minimum = {o: f"_min_{k}" for k, o in enumerate(outputs)}
+
+    def needed(bound: set[str], k: int) -> list[str]:
+        """Columns of bound tables that steps from ``k`` on use, or outputs that need other tables too."""
+        texts = [p for _, ready in steps[k:] for p in ready] + [e for e in outputs.values() if not tables_of(e, names) <= bound]
+        return sorted({c for e in texts for c in _columns_of(e, bound)})
+
+    def reduced(df: DataFrame, bound: set[str], k: int) -> DataFrame:
+        keys = needed(bound, k)
+        if not keys:
+            return df
+        old = [minimum[o] for o in outputs if o in held and tables_of(outputs[o], names) <= bound]
+        new = [o for o, e in outputs.items() if o not in held and frozenset() < tables_of(e, names) <= bound]
+        held.update(new)
+        minima = [F.min(c).alias(c) for c in old] + [F.min(F.expr(outputs[o])).alias(minimum[o]) for o in new]
+        return df.groupBy(*keys).agg(*minima) if minima else df.select(*keys).distinct()
+
+    out, bound = inputs[order[0]], {order[0]}
+    for k, (n, ready) in enumerate(steps):
+        rows, values = stats[n]
+        right = inputs[n]
+        mine = [c for sides in filter(None, map(EQUALITY.fullmatch, ready)) for a, c in (sides.group(1, 2), sides.group(3, 4)) if a == n]
+        if max((values[c] for c in mine), default=0) < 0.9 * rows:
+            out = reduced(out, bound, k)
+            if rows >= 2 * prod(values.get(c.partition(".")[2], rows) for c in needed({n}, k)):
+                right = reduced(right, {n}, k)
+        out = _attached(out, _hinted(right, strategy), ready)
         bound.add(n)
-        ready = independent([p for p, t in shared if n in t and t <= bound], given, kinds)
-        given += ready
-        right = _hinted(inputs[n], strategy)
-        out = out.join(right, reduce(lambda a, b: a & b, map(F.expr, ready)), "inner") if ready else out.crossJoin(right)
-    free = [p for p, t in shared if not t]
-    return reduce(lambda d, p: d.filter(F.expr(p)), free, out)
+    out = reduce(lambda d, p: d.filter(F.expr(p)), [p for p, t in refs if not t], out)
+    return out.agg(*(F.min(F.col(minimum[o]) if o in held else F.expr(e)).alias(o) for o, e in outputs.items()))

@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from brindle.operators import aggregate, multiway_join
+from brindle.operators import multiway_min
 from brindle.tables import MOVIE_SCHEMAS, Database
 
 
@@ -188,15 +187,15 @@ def movie_sql(name: str) -> str:
 
 
 def joined(inputs: Mapping[str, DataFrame], name: str, **options) -> DataFrame:
-    """A query over given inputs; ``options`` are those of ``multiway_join``."""
+    """A query over given inputs; ``options`` are those of ``multiway_min``."""
     _, predicates, outputs = parts(name)
-    return aggregate(multiway_join(inputs, predicates, **options), {n: F.min(e) for n, e in outputs.items()})
+    return multiway_min(inputs, predicates, outputs, **options)
 
 
 def _plan(name: str) -> Callable[[Database], DataFrame]:
     def plan(db: Database) -> DataFrame:
         movies = MovieDatabase(db.spark, db.dir)
-        return joined({a: movies[t] for a, t in parts(name)[0].items()}, name, measure=True)
+        return joined({a: movies[t] for a, t in parts(name)[0].items()}, name)
 
     return plan
 

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregate, multiway_join
+from brindle.operators import aggregate, multiway_join, multiway_min
+from brindle.plans.movies import joined, parts
 from brindle.plans.sql import run_sql
 from brindle.sources import read_delimited, write_columnar
 from brindle.tables import MOVIE_SCHEMAS, Database
@@ -79,6 +80,53 @@ def test_many_way_join(movies, tables, predicates, outputs):
     assert tuple(run_sql(db, sql)[0].first()) == want
 
 
+@pytest.mark.parametrize("tables, predicates, outputs", QUERIES)
+def test_many_way_minimum(movies, tables, predicates, outputs):
+    """Also of expressions on two tables, on none, and with tables that equalities do not reach."""
+    db, con = movies
+    names = list(tables)
+    outputs = outputs | {"both": f"least({names[0]}.id + {names[-1]}.id, {names[1]}.id)", "one": "1", "texts": f"concat({names[1]}.id, '{names[0]}.id')"}
+    more = [*predicates, f"{names[0]}.id + {names[-1]}.id > free.id", "free.id < 4"]
+    sql = f"SELECT {', '.join(f'MIN({e}) AS {n}' for n, e in outputs.items())} FROM {', '.join(f'{t} AS {a}' for a, t in tables.items())}, link_type AS free WHERE {' AND '.join(f'({p})' for p in more)}"
+    (want,) = con.sql(sql).fetchall()
+    inputs = {a: db[t] for a, t in (tables | {"free": "link_type"}).items()}
+    for prefix in [(), tuple(tables)[-1:], ("free", *tables)]:
+        out = multiway_min(inputs, more, outputs, prefix)
+        assert out.columns == list(outputs) and tuple(out.first()) == want
+    assert tuple(multiway_min(inputs, [*more, "1 = 2"], outputs).first()) == (None,) * len(outputs)
+
+
+def most_joined(df):
+    """The most rows that one join made while the query ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        else:
+            if "Join" in p.nodeName():
+                most = max(most, p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(k) for k in range(p.children().size())]
+    return most
+
+
+def test_facts_of_one_title_do_not_meet_in_pairs(spark):
+    """Three tables with 100 rows a title: a million rows for each of 5 titles where all combinations are joined."""
+    rows = {
+        "title": spark.range(1, 6).selectExpr("id", "concat('t', id) title"),
+        "movie_companies": spark.range(500).selectExpr("id", "id % 5 + 1 movie_id", "1L company_id", "1L company_type_id", "'x' note"),
+        "movie_keyword": spark.range(500).selectExpr("id", "id % 5 + 1 movie_id", "1L keyword_id"),
+        "movie_link": spark.range(500).selectExpr("id", "id % 5 + 1 movie_id", "1L link_type_id"),
+        "company_name": spark.sql("SELECT 1L id, 'c' name, '[us]' country_code"), "company_type": spark.sql("SELECT 1L id, 'distributors' kind"),
+        "keyword": spark.sql("SELECT 1L id, 'sequel' keyword"), "link_type": spark.sql("SELECT 1L id, 'follows' link"),
+    }
+    out = joined({a: rows[t] for a, t in parts("movies_links")[0].items()}, "movies_links")
+    assert most_joined(out) <= 500 and tuple(out.first()) == ("c", "follows", "t1")
+
+
 def test_files_are_read_as_written(movies):
     db, _ = movies
     texts = {r.keyword for r in db["keyword"].collect()}
